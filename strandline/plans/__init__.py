@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_plans() -> list:
-    from strandline.plans import p2_orphans, p4_intervals, p5_duplicates
+    from strandline.plans import p2_orphans, p3_parsing, p4_intervals, p5_duplicates
 
-    return [m.R for m in (p2_orphans, p4_intervals, p5_duplicates)]
+    return [m.R for m in (p2_orphans, p3_parsing, p4_intervals, p5_duplicates)]
