@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,7 +20,13 @@ class Registry:
     def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def keep(query: Query) -> Query:
             assert name not in self.queries, name
-            self.queries[name] = query
+
+            @functools.wraps(query)
+            def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return query(spark, sf_dir)
+
+            self.queries[name] = shipped
             if sql:
                 self.sql[name] = sql
             return query

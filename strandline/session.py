@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,17 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8)
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python workers, once per context; workers may start in any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_strandline_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="strandline-ship-")
+    context.addPyFile(shutil.make_archive(f"{folder}/strandline_package", "zip", os.path.dirname(package), os.path.basename(package)))
+    context._strandline_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
