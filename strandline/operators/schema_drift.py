@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.ordered_scan import range_sorted, rescan, summarise
@@ -308,3 +308,135 @@ def drift(lines: DataFrame, least: float = 1 / 3) -> DataFrame:
 
     decided = facts.select("pair", "fields", "sizes", "common").mapInArrow(decide, "file_id string, field string, change_kind string, old_field string")
     return retyped.unionByName(single).unionByName(decided)
+
+
+#: The consistent result record: path and kind of each column; what fits none of them goes to ``extra`` as JSON text.
+RESULT_FIELDS = {
+    "video_id": "string", "qid": "string", "task": "string", "sampling": "string", "evidence_condition": "string", "sampled_seconds": "numbers",
+    "model_response": "string", "model_parsed.label": "string", "model_parsed.answer": "string", "alpha": "number", "partial_mode": "string",
+}
+_TYPES = {"string": ["string"], "number": ["number"], "numbers": ["array"]}
+
+
+def _scalar(v: object) -> object:
+    """A list of one value is that value."""
+    while isinstance(v, list) and len(v) == 1:
+        v = v[0]
+    return v
+
+
+def cast_value(v: object, kind: str) -> object:
+    """A value in the target's type, whatever its notation; None where it has no such value."""
+    if kind == "numbers":
+        parts = v if isinstance(v, list) else _SPLIT.split(v.strip()) if isinstance(v, str) else [v]
+        out = [cast_value(x, "number") for x in parts]
+        return out if all(x is not None for x in out) else None
+    v = _scalar(v)
+    if v is None:
+        return None
+    if kind == "number":
+        text = notation_free(v)
+        return float(text[1:]) if not isinstance(v, bool) and text[:1] == "#" and ";" not in text else None
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return v if isinstance(v, str) else json.dumps(v)
+
+
+def canonical_target(names: list[str], types: list[str], targets: dict[str, str], least: float = 0.5) -> str | None:
+    """The target field of a lineage: one it was ever called by, else the best flooded match with a similar name."""
+    for n in names:
+        if n in targets:
+            return n
+    scores = flood([{"path": p, "types": _TYPES[k]} for p, k in targets.items()], [{"path": n, "types": types} for n in names], {})
+    best = max(scores, key=lambda p: (scores[p], p), default=None)
+    if best is None:
+        return None
+    return best[0] if name_similarity(best[0].rpartition(".")[2], best[1].rpartition(".")[2]) >= least else None
+
+
+def lineages(lines: DataFrame, changes: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """(file_id, path, target) of every field of every file; ``changes`` is the result of :func:`drift`.
+
+    A field's life in a stream begins where it is added or renamed; a renamed one has the life of its former name as
+    parent. The first ancestor of each life comes from pointer jumping, which doubles the distance in every round.
+    """
+    slim = lines.select("file_id", "stream_id", F.unix_micros("written_at").alias("written_us"), "line_text")
+    fields = cut(_fields(slim))
+    files = fields.where("path IS NULL").select("file_id", "stream_id", "written_us")
+    born = changes.where("change_kind IN ('added', 'renamed')").join(files, "file_id").select("stream_id", F.col("field").alias("path"), "written_us", "old_field")
+
+    def latest(asks: DataFrame) -> DataFrame:
+        """The life each (stream_id, path, at_us, ...) belongs to: its last birth up to then, else -1 for the stream's first file."""
+        lives = born.select("stream_id", "path", F.col("written_us").alias("at_us"), F.col("written_us").alias("life"))
+        both = asks.withColumn("life", F.lit(None).cast("bigint")).unionByName(lives, allowMissingColumns=True)
+        over = Window.partitionBy("stream_id", "path").orderBy("at_us", F.col("life").isNull())
+        return both.withColumn("since", F.coalesce(F.last("life", True).over(over), F.lit(-1))).where("life IS NULL").drop("life")
+
+    asks = born.where("old_field IS NOT NULL").select("stream_id", F.col("old_field").alias("path"), (F.col("written_us") - 1).alias("at_us"), F.col("path").alias("child"), F.col("written_us").alias("child_us"))
+    up = latest(asks).select("stream_id", F.col("child").alias("path"), F.col("child_us").alias("life"), F.col("path").alias("to_path"), F.col("since").alias("to_life"))
+    up = cut(up)
+    while True:
+        far = up.select("stream_id", F.col("path").alias("to_path"), F.col("life").alias("to_life"), F.col("to_path").alias("far_path"), F.col("to_life").alias("far_life"))
+        step = up.join(far, ["stream_id", "to_path", "to_life"], "left")
+        step = cut(step.select("stream_id", "path", "life", F.coalesce("far_path", "to_path").alias("to_path"), F.coalesce("far_life", "to_life").alias("to_life"), F.col("far_path").isNotNull().alias("moved")))
+        up = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    seen = fields.where("path IS NOT NULL").select("file_id", "stream_id", "path", F.col("written_us").alias("at_us"), F.array_except("types", F.array(F.lit("null"))).alias("types"))
+    placed = latest(seen).select("file_id", "stream_id", "path", "types", F.col("since").alias("life")).join(up, ["stream_id", "path", "life"], "left")
+    placed = cut(placed.select("file_id", "stream_id", "path", "types", F.coalesce("to_path", "path").alias("root"), F.coalesce("to_life", "life").alias("root_life")))
+    lines_of = placed.groupBy("stream_id", "root", "root_life").agg(F.sort_array(F.collect_set("path")).alias("names"), F.array_distinct(F.flatten(F.collect_set("types"))).alias("types"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, str | None] = {}
+        for b in batches:
+            out = []
+            for root, names, types in zip(*(b.column(k).to_pylist() for k in (1, 3, 4))):
+                key = (root, *names, None, *sorted(types))
+                if key not in known:
+                    known[key] = canonical_target([root, *[n for n in names if n != root]], sorted(types), targets)
+                out.append(known[key])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.string())], names=["stream_id", "root", "root_life", "target"])
+
+    decided = lines_of.select("stream_id", "root", "root_life", "names", "types").mapInArrow(decide, "stream_id string, root string, root_life bigint, target string")
+    return placed.join(decided, ["stream_id", "root", "root_life"]).select("file_id", "path", "target")
+
+
+def unify(lines: DataFrame, targets: dict[str, str] | None = None) -> DataFrame:
+    """(row_id, file_id, stream_id, line_no, one column per target, extra) of every line: fields under the names, places
+    and types of their file, cast to one record. Two fields of a file with the same target: the first by path that has a value. Lines
+    that are null or no JSON object have null values. ``extra`` holds what has no target, or no value of its type, as JSON text."""
+    targets = targets or RESULT_FIELDS
+    changes = cut(drift(lines))
+    maps = lineages(lines, changes, targets).where("target IS NOT NULL").groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("path", "target"))).alias("fields"))  # as long as a schema is wide
+    arrow = {"string": pa.string(), "number": pa.float64(), "numbers": pa.list_(pa.float64())}
+    spark_kind = {"string": "string", "number": "double", "numbers": "array<double>"}
+    cols = {t: t.replace(".", "_") for t in targets}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {t: [] for t in targets}
+            extra: list[str | None] = []
+            for text, fields in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
+                try:
+                    record = json.loads(text) if text is not None else None
+                except ValueError:
+                    record = None
+                got, rest = dict.fromkeys(targets), {}
+                to = {f["path"]: f["target"] for f in fields or ()}
+                for path, v in sorted(leaves(record), key=lambda x: x[0]):
+                    target = to.get(path)
+                    value = cast_value(v, targets[target]) if target is not None and got[target] is None else None
+                    if value is not None:
+                        got[target] = value
+                    elif target is None or v is not None:
+                        rest[path] = v
+                for t in targets:
+                    v = got[t]
+                    out[t].append(v.encode("utf-8", "replace").decode() if isinstance(v, str) else v)
+                extra.append(json.dumps(rest, sort_keys=True) if rest else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(out[t], arrow[k]) for t, k in targets.items()), pa.array(extra, pa.string())], names=["row_id", "file_id", "stream_id", "line_no", *cols.values(), "extra"])
+
+    rows = lines.select("row_id", "file_id", "stream_id", "line_no", "line_text").join(maps, "file_id", "left")
+    schema = "row_id bigint, file_id string, stream_id string, line_no int, " + ", ".join(f"{cols[t]} {spark_kind[k]}" for t, k in targets.items()) + ", extra string"
+    return rows.select("row_id", "file_id", "stream_id", "line_no", "line_text", "fields").mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators.schema_drift import drift
+from strandline.operators.schema_drift import drift, unify
 from strandline.plans.registry import Registry
 from strandline.session import table
 
@@ -23,3 +23,9 @@ def p1_change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "result_lines").select("file_id", "stream_id").distinct()
     found = drift(table(spark, sf_dir, "result_lines")).join(files, "file_id")
     return found.groupBy("change_kind", "field").agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("stream_id").alias("n_streams"))
+
+
+@R.add("p1_results")
+def p1_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All result lines as one table of one schema."""
+    return unify(table(spark, sf_dir, "result_lines"))
