@@ -73,15 +73,14 @@ def words(c: Column) -> Column:
 
 
 def question_kind(c: Column) -> Column:
-    """By the first words: whata (what is/are/was/were), whatb (other what), whato (what alone), howm (how many/much), who..., other."""
+    """Class by the first words: whata (what does/do/did), whatb (what is/are/was/were), whato (other what), howm (how many), the other question words as they are, else other."""
     w = words(c)
     first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+    what = F.when(second.isin("does", "do", "did"), "whata").when(second.isin("was", "were", "is", "are"), "whatb").otherwise("whato")
     return (
-        F.when((first == "what") & second.isin("is", "are", "was", "were", "'s"), "whata")
-        .when((first == "what") & second.isin("does", "do", "did", "happens", "happened"), "whatb")
-        .when(first == "what", "whato")
-        .when((first == "how") & second.isin("many", "much"), "howm")
-        .when(first.isin("who", "where", "when", "why", "how", "which"), first)
+        F.when(first == "what", what)
+        .when((first == "how") & F.coalesce(second == "many", F.lit(False)), "howm")
+        .when(first.isin("who", "which", "why", "how", "where"), first)
         .otherwise("other")
     )
 
