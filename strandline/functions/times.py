@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.intervals import SPAN, span
@@ -65,36 +65,40 @@ def time_part(c: Column, radius: float = 20.0) -> Column:
     )
 
 
-def attention_segment(att: Column, times: Column, reach: float = 10.0, factor: float = 1.3) -> Column:
-    """The segment around the greatest of the attention scores.
+def attention_segments(df: DataFrame, att: str, times: str, out: str, reach: float = 10.0, factor: float = 1.3) -> DataFrame:
+    """``df`` with the segment around the greatest of the attention scores as ``out``.
 
     Scores are scaled to [0, 1]; from the maximum one walks both ways and keeps positions whose score, divided by
     1 + distance / reach, is at least ``factor`` times the mean; a miss beyond ``reach`` ends the walk. The walk to the
-    left never takes position 0.
+    left never takes position 0. Kept and missed are settled per position first, so that each walk is one scan.
     """
     low, high = F.array_min(att), F.array_max(att)
-    a = F.transform(att, lambda x: (x - low) / (high - low + 1e-12))
-    top = F.array_position(a, F.array_max(a)).cast("int") - 1
-    need = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a) * factor
-    n = F.size(a)
+    df = df.withColumn("_scaled", F.transform(att, lambda x: (x - low) / (high - low + 1e-12)))
+    df = df.withColumns({"_top": F.array_position("_scaled", F.array_max("_scaled")).cast("int") - 1, "_need": F.aggregate("_scaled", F.lit(0.0), lambda s, x: s + x) / F.size("_scaled") * factor})
+    df = df.withColumn("_at", F.get(times, F.col("_top")))
 
-    def walk(positions: Column) -> Column:
-        start = F.struct(top.alias("last"), F.lit(False).alias("done"))
+    def state(i: Column) -> Column:
+        away = F.abs(F.get(times, i) - F.col("_at"))
+        kept = F.get("_scaled", i) / (1 + away / reach) >= F.col("_need")
+        return F.when(kept, 1).when(away > reach, -1).otherwise(0)
+
+    df = df.withColumn("_state", F.transform(F.sequence(F.lit(0), F.size("_scaled") - 1), state))
+    nothing = F.array().cast("array<int>")
+    left = F.when(F.col("_top") >= 2, F.sequence(F.col("_top") - 1, F.lit(1), F.lit(-1))).otherwise(nothing)
+    right = F.when(F.col("_top") + 1 < F.size("_scaled"), F.sequence(F.col("_top") + 1, F.size("_scaled") - 1)).otherwise(nothing)
+    df = df.withColumns({"_left": left, "_right": right})
+
+    def walk(positions: str) -> Column:
+        start = F.struct(F.col("_top").alias("last"), F.lit(False).alias("done"))
 
         def step(acc: Column, p: Column) -> Column:
-            away = F.abs(F.get(times, top) - F.get(times, p))
-            kept = F.get(a, p) / (1 + away / reach) >= need
-            return F.struct(
-                F.when(~acc["done"] & kept, p).otherwise(acc["last"]).alias("last"),
-                (acc["done"] | (~kept & (away > reach))).alias("done"),
-            )
+            s = F.get("_state", p)
+            return F.struct(F.when(~acc["done"] & (s == 1), p).otherwise(acc["last"]).alias("last"), (acc["done"] | (s == -1)).alias("done"))
 
         return F.aggregate(positions, start, step)["last"]
 
-    empty = F.array().cast("array<int>")
-    left = walk(F.when(top >= 2, F.sequence(top - 1, F.lit(1), F.lit(-1))).otherwise(empty))
-    right = walk(F.when(top + 1 < n, F.sequence(top + 1, n - 1)).otherwise(empty))
-    return span(F.get(times, left), F.get(times, right))
+    df = df.withColumns({"_a": walk("_left"), "_b": walk("_right")}).withColumn(out, span(F.get(times, F.col("_a")), F.get(times, F.col("_b"))))
+    return df.drop("_scaled", "_top", "_need", "_at", "_state", "_left", "_right", "_a", "_b")
 
 
 def best_clip(att: Column, times: Column, width: int = 4) -> Column:
