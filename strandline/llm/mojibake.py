@@ -48,6 +48,7 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 _GAP = re.compile(r"[ \t\r\n\x0b\x0c\x1c-\x1f]+")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _CONTROLS = re.compile("[\x80-\x9f]")
+_OUTER = re.compile(r"^\W+|\W+$")
 #: Marks at which unspaced scripts are cut into clauses.
 CLAUSE_MARKS = "。，、：；！？（）"
 
@@ -111,7 +112,7 @@ def _clause_split() -> re.Pattern:
 
 
 def words(text: str) -> set[str]:
-    """The non-ASCII units of a text: white-space words without outer ASCII marks, runs of non-ASCII characters that are
+    """The non-ASCII units of a text: white-space words without outer ASCII marks and without any outer marks, runs of non-ASCII characters that are
     long enough to mean something or stand between no letters, and the clauses of both. U+FFFD is a unit of its own."""
     out: set[str] = set()
     split = _clause_split()
@@ -119,7 +120,7 @@ def words(text: str) -> set[str]:
         if token.isascii():
             continue
         core = token.strip(_EDGE)
-        out.add(core)
+        out.update((core, _OUTER.sub("", core)))
         if len(core) > 8:
             out.update(p.strip(_EDGE) for p in split.split(core))
         for m in _RUN.finditer(token):
@@ -154,7 +155,7 @@ def document_words(docs: DataFrame, key: str, text: str) -> DataFrame:
 #: Typographic characters that count as known words whether or not the corpus holds them clean; fixed values.
 TYPOGRAPHIC = "‘’“”„–—…•·€™©®°«»"
 #: Chains in which one character of the original becomes a fixed string, so that a run can be cut into characters. The
-#: value is the least number of characters that must come out of a run that is no known word.
+#: value is the least number of characters, three of them different where it is above one, that must come out of a run that is no known word.
 BY_CHARACTER = {f"utf-8>{c}": 1 for c in UTF8_READ_AS} | {
     "utf-8>latin-1>utf-8>latin-1": 1, "utf-8>ansi>utf-8>ansi": 1, "utf-8>mac_roman>utf-8>mac_roman": 1, "utf-8>latin-1 without controls": 4,
     "gb18030>ansi": 4, "gb18030>latin-1": 4, "big5>ansi": 4, "big5>latin-1": 4, "euc_jp>ansi": 4, "euc_jp>latin-1": 4,
@@ -227,7 +228,8 @@ def cut_run(run: str, forms: dict[str, dict[str, str]], longest: dict[str, int])
                     break
             else:
                 break
-        if at == len(run) and len(out) >= BY_CHARACTER[chain]:
+        least = BY_CHARACTER[chain]
+        if at == len(run) and len(out) >= least and len(set(out)) >= min(least, 3):
             return "".join(out), chain
     return None
 
