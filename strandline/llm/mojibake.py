@@ -48,6 +48,7 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 _GAP = re.compile(r"[ \t\r\n\x0b\x0c\x1c-\x1f]+")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _CONTROLS = re.compile("[\x80-\x9f]")
+_DIGITS = re.compile(r"[0-9][0-9.,:]*")
 _OUTER = re.compile(r"^\W+|\W+$")
 #: Marks at which unspaced scripts are cut into clauses.
 CLAUSE_MARKS = "。，、：；！？（）"
@@ -113,7 +114,7 @@ def _clause_split() -> re.Pattern:
 
 def words(text: str) -> set[str]:
     """The non-ASCII units of a text: white-space words without outer ASCII marks and without any outer marks, runs of non-ASCII characters that are
-    long enough to mean something or stand between no letters, and the clauses of both. U+FFFD is a unit of its own."""
+    long enough to mean something or stand between no letters, what stands between numbers, and the clauses of all. U+FFFD is a unit of its own."""
     out: set[str] = set()
     split = _clause_split()
     for token in _GAP.split(text):
@@ -121,6 +122,8 @@ def words(text: str) -> set[str]:
             continue
         core = token.strip(_EDGE)
         out.update((core, _OUTER.sub("", core)))
+        if len(core) > 4:
+            out.update(p for p in _DIGITS.split(core) if len(p) > 2)
         if len(core) > 8:
             out.update(p.strip(_EDGE) for p in split.split(core))
         for m in _RUN.finditer(token):
