@@ -10,9 +10,11 @@ joins are shuffle joins on the word.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,7 +144,7 @@ def document_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(*key, word) distinct within a document; null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
             rows, found = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if t and not t.isascii():
@@ -165,6 +167,8 @@ BY_CHARACTER = {f"utf-8>{c}": 1 for c in UTF8_READ_AS} | {
 }
 #: A legacy form counts as garbled where its original stands in so many times as many documents.
 RATIO = 3
+#: The bit set over the vocabulary has 2**BITS bits.
+BITS = 24
 WITHOUT = "utf-8>latin-1 without controls"
 
 
@@ -173,23 +177,53 @@ def _plain(word: str) -> bool:
     return not any(c == LOST or "\x80" <= c <= "\x9f" or "\ue000" <= c <= "\uf8ff" for c in word)
 
 
-def garbled_table(vocabulary: DataFrame) -> DataFrame:
-    """(garbled, original, chain, lossless, n_original) of every clean word along every chain. U+FFFD stands for the
-    characters that any of them loses."""
+def _bit(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (2**BITS - 1)
+
+
+def word_bits(vocabulary: DataFrame) -> np.ndarray:
+    """One bit per hash of a word: 2 MB whatever the vocabulary's size. A clear bit says that no document holds a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(2 ** (BITS - 3), dtype=np.uint8)
         for batch in batches:
-            out, lost = [], False
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if _plain(word):
-                    for form, (chain, lossless) in garbled_forms(word).items():
-                        out.append((form, word, chain, lossless, n))
-                        if LOST in form and not lost:
-                            lost = True
-                            out.append((LOST, word, chain, False, n))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["garbled", "original", "chain", "lossless", "n_original"])
+            at = np.array([_bit(w) for w in batch.column(0).to_pylist()], dtype=np.int64)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(2 ** (BITS - 3), dtype=np.uint8)
+    for row in vocabulary.select("word").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row.bits, dtype=np.uint8)
+    return out
+
+
+def garbled_table(vocabulary: DataFrame) -> DataFrame:
+    """(garbled, original, chain, lossless, n_original) of every clean word along every chain, without forms that no
+    document holds for sure. U+FFFD stands for the characters that any of them loses."""
+    shared = vocabulary.sparkSession.sparkContext.broadcast(word_bits(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value.tobytes()
+
+        def held(form: str) -> bool:
+            at = _bit(form)
+            return bits[at >> 3] >> (at & 7) & 1 == 1
+
+        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+        for whole in batches:
+            for low in range(0, whole.num_rows, 2000):
+                batch = whole.slice(low, 2000)
+                out, lost = [], False
+                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if _plain(word):
+                        for form, (chain, lossless) in garbled_forms(word).items():
+                            if held(form):
+                                out.append((form, word, chain, lossless, n))
+                            if LOST in form and not lost:
+                                lost = True
+                                out.append((LOST, word, chain, False, n))
+                cols = list(zip(*out)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["garbled", "original", "chain", "lossless", "n_original"])
 
     return vocabulary.mapInArrow(run, "garbled string, original string, chain string, lossless boolean, n_original bigint")
 
