@@ -25,8 +25,8 @@ def span_ms(start: Column, end: Column, duration: Column) -> Column:
     duration where that is known (not null, not NaN, above 0). Null or NaN endpoints, and what has no length then, give null.
     """
 
-    def ms(c: Column) -> Column:
-        return F.greatest(F.least(F.round(c * 1000), F.lit(float(LIMIT_MS))), F.lit(float(-LIMIT_MS))).cast("bigint")
+    def ms(c: Column) -> Column:  # half up; the cut keeps the number within bigint
+        return F.floor(F.greatest(F.least(c * 1000, F.lit(float(LIMIT_MS))), F.lit(float(-LIMIT_MS))) + 0.5)
 
     known = duration.isNotNull() & ~F.isnan(duration) & (duration > 0)
     top = F.when(known, ms(duration)).otherwise(F.lit(LIMIT_MS))

@@ -19,13 +19,16 @@ def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src_table, video_id, qid, start_ms, end_ms) of both tables, normalised; one row per usable span."""
     cg = (
         table(spark, sf_dir, "cgbench_filtered")
-        .select(video_key("video_id").alias("video_id"), qid_key("qid").alias("qid"), "video_duration", F.explode("evidence_intervals").alias("iv"))
+        .select(video_key("video_id").alias("video_id"), qid_key("qid").alias("qid"), "video_duration", "evidence_intervals")  # keys once per row
+        .select("video_id", "qid", "video_duration", F.explode("evidence_intervals").alias("iv"))
         .select(F.lit("cgbench_filtered").alias("src_table"), "video_id", "qid", span_ms(F.col("iv.start"), F.col("iv.end"), F.col("video_duration")).alias("span"))
     )
     gsub = (
         table(spark, sf_dir, "gsub_test")
-        .select(video_key("video_id").alias("video_id"), "duration", F.explode("location").alias("qid", "pairs"))
-        .select("video_id", qid_key("qid").alias("qid"), "duration", F.explode("pairs").alias("pair"))
+        .select(video_key("video_id").alias("video_id"), "duration", "location")
+        .select("video_id", "duration", F.explode("location").alias("qid", "pairs"))
+        .select("video_id", qid_key("qid").alias("qid"), "duration", "pairs")
+        .select("video_id", "qid", "duration", F.explode("pairs").alias("pair"))
         .select(F.lit("gsub_test").alias("src_table"), "video_id", "qid", span_ms(F.get("pair", F.lit(0)), F.get("pair", F.lit(1)), F.col("duration")).alias("span"))
     )
     return cg.unionByName(gsub).where("span IS NOT NULL").select(*KEYS, "span.start_ms", "span.end_ms")
