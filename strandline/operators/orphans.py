@@ -24,11 +24,9 @@ def alive_periods(targets: DataFrame, keys: list[str], loaded: str, deleted: str
     return merge_spans(lives.where("from_us IS NOT NULL"), keys, "from_us", "to_us").where("kind = 'period'").select(*keys, "from_us", "to_us")
 
 
-def heavy_keys(counts: DataFrame, keys: list[str], share: float, least: int) -> DataFrame:
-    """Keys with more than ``share`` of all references and at least ``least``: never more than ``1 / share`` rows."""
-    per_key = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
-    total = per_key.agg(F.sum("n").alias("total"))
-    return per_key.crossJoin(F.broadcast(total)).where((F.col("n") > F.col("total") * share) & (F.col("n") >= least)).select(*keys)
+def heavy_keys(counts: DataFrame, keys: list[str], total: int, share: float, least: int) -> DataFrame:
+    """Keys with more than ``share`` of all ``total`` references and at least ``least``: never more than ``1 / share`` rows."""
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n")).where((F.col("n") > total * share) & (F.col("n") >= least)).select(*keys)
 
 
 def find_orphans(
@@ -68,7 +66,7 @@ def find_orphans(
     info = there.groupBy(*keys).agg(F.min(F.unix_micros(loaded)).alias(first_us)).select(*[F.col(k).alias(t) for k, t in zip(keys, tk)], first_us, F.lit(True).alias(known))
 
     counts = rows.groupBy(*keys, F.trunc(at, "month").alias("period")).agg(F.count(F.lit(1)).alias("n"))
-    hot = [tuple(r) for r in heavy_keys(counts, keys, share, least).collect()]  # at most 1 / share keys
+    hot = [tuple(r) for r in heavy_keys(counts, keys, rows.count(), share, least).collect()]  # at most 1 / share keys
 
     def same(left: DataFrame, right: DataFrame):
         cond = F.lit(True)
