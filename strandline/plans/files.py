@@ -435,9 +435,9 @@ def val_binaries(spark, sf_dir):
     return spark.createDataFrame([("ffmpeg", True), ("ffprobe", True)], "tool string, checked boolean")
 
 
-@R.add("proj_dataset_config", "SELECT * FROM (VALUES ('cgbench', 'cgbench_filtered', true), ('nextgqa', 'test', false)) t(dataset, table_name, has_intervals)")
+@R.add("proj_dataset_config", "SELECT * FROM (VALUES ('cgbench', 'cgbench_filtered', true), ('questions', 'test', false)) t(dataset, table_name, has_intervals)")
 def proj_dataset_config(spark, sf_dir):
-    return spark.createDataFrame([("cgbench", "cgbench_filtered", True), ("nextgqa", "test", False)], "dataset string, table_name string, has_intervals boolean")
+    return spark.createDataFrame([("cgbench", "cgbench_filtered", True), ("questions", "test", False)], "dataset string, table_name string, has_intervals boolean")
 
 
 @R.add("agg_dvc_topn", "SELECT row_id, least(len(evidence_intervals), 1000) AS n FROM cgbench_filtered WHERE evidence_intervals IS NOT NULL")

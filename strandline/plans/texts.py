@@ -162,9 +162,9 @@ def fn_feature_mapping(spark, sf_dir):
     return t.select("row_id", "video_id", F.when(F.col("source_dataset") == "cgbench", F.substring("video_id", 1, 11)).otherwise(F.col("video_id")).alias("feature"))
 
 
-@R.add("fn_video_id_from_path", "SELECT row_id, 'etbench_' || regexp_replace(file_name, '\\.[^.]*$', '') AS video_id FROM test_raw")
+@R.add("fn_video_id_from_path", "SELECT row_id, 'video_' || regexp_replace(file_name, '\\.[^.]*$', '') AS video_id FROM test_raw")
 def fn_video_id_from_path(spark, sf_dir):
-    return table(spark, sf_dir, "test_raw").select("row_id", F.concat(F.lit("etbench_"), tx.stem(F.concat(F.lit("dir/"), "file_name"))).alias("video_id"))
+    return table(spark, sf_dir, "test_raw").select("row_id", F.concat(F.lit("video_"), tx.stem(F.concat(F.lit("dir/"), "file_name"))).alias("video_id"))
 
 
 @R.add("fn_extract_description", r"SELECT doc_id, regexp_extract(text, '“([^”]+)”', 1) AS quoted FROM documents WHERE text IS NOT NULL")
