@@ -2,8 +2,8 @@
 
 Every distinct non-ASCII word of the corpus is garbled along every chain of (true encoding, wrong decoder); the garbled
 forms are hash-joined with the words that documents hold. A hit names the word it may come from. What a chain does to a
-clean word of many documents and what stands in few documents is taken as garbled; the substitution is verified by
-garbling the original again. The word table follows the vocabulary, which grows far slower than the corpus, and all
+clean word of many texts and what stands in few texts is taken as garbled, and so is what several words of one text say
+together; copies of a text count once. The substitution is verified by garbling the original again. The word table follows the vocabulary, which grows far slower than the corpus, and all
 joins are shuffle joins on the word.
 """
 
@@ -141,20 +141,24 @@ def words(text: str) -> set[str]:
 
 
 def document_words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(*key, word) distinct within a document; null texts have none."""
+    """(*key, word, source, whole) distinct within a document; null texts have none. ``source`` is equal for equal texts;
+    ``whole`` marks the white-space words, of which no two overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
-            rows, found = [], []
+            rows, found, whole = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if t and not t.isascii():
                     mine = words(t)
                     rows.extend([i] * len(mine))
                     found.extend(mine)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["key", "word"])
+                    cores = {token.strip(_EDGE) for token in _GAP.split(t)}
+                    whole.extend(w in cores for w in mine)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(found, pa.string()), batch.column(2).take(at), pa.array(whole, pa.bool_())], names=["key", "word", "source", "whole"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, word string")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("source")).mapInArrow(run, f"key {kind}, word string, source bigint, whole boolean")
 
 
 #: Typographic characters that count as known words whether or not the corpus holds them clean; fixed values.
@@ -165,8 +169,12 @@ BY_CHARACTER = {f"utf-8>{c}": 1 for c in UTF8_READ_AS} | {
     "utf-8>latin-1>utf-8>latin-1": 1, "utf-8>ansi>utf-8>ansi": 1, "utf-8>mac_roman>utf-8>mac_roman": 1, "utf-8>latin-1 without controls": 4,
     "gb18030>ansi": 4, "gb18030>latin-1": 4, "big5>ansi": 4, "big5>latin-1": 4, "euc_jp>ansi": 4, "euc_jp>latin-1": 4,
 }
-#: A legacy form counts as garbled where its original stands in so many times as many documents.
+#: A legacy form counts as garbled where its original stands in so many times as many texts.
 RATIO = 3
+#: So many whole words of one text, of so many characters each, that are forms of known words along one chain are evidence.
+EVIDENCE, EVIDENCE_LENGTH = 2, 3
+#: What clean words do not look like: a symbol between letters, a capital after a small letter, two scripts, four accented Latin letters in a row.
+ODD = r"\p{L}[^\p{L}\p{M}\p{N}\x00-\x7f’‘ʼ·‐‑–—…]\p{L}|\p{Ll}\p{Lu}|\p{IsLatin}[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}]\p{IsLatin}|[\x{c0}-\x{24f}]{4}"
 #: The bit set over the vocabulary has 2**BITS bits.
 BITS = 24
 WITHOUT = "utf-8>latin-1 without controls"
@@ -271,19 +279,40 @@ def cut_run(run: str, forms: dict[str, dict[str, str]], longest: dict[str, int])
     return None
 
 
-def garbled_words(vocabulary: DataFrame) -> DataFrame:
+def evident(mine: DataFrame, found: DataFrame) -> DataFrame:
+    """(source, word, original, chain, lossless): the legacy forms of texts in which several whole words are forms of known
+    words along one chain.
+
+    As most chains have a reverse, which garbles the garbled word back, the text must also look less clean than its
+    restored form: more of its words are odd or, at a tie, its words stand in fewer texts than their originals.
+    """
+    by = F.regexp_replace("chain", ">latin-1$", ">ansi")  # they differ in control characters only
+    forms = found.where(~F.col("chain").startswith("utf-8") & (F.col("garbled") != LOST)).withColumn("by", by).withColumnRenamed("garbled", "word")
+    own = cut(mine.select("source", "word", "whole").distinct().join(forms, "word"))
+    odd = lambda c: F.sum(F.col(c).rlike(ODD).cast("int"))
+    texts = own.where(F.col("whole") & (F.length("word") >= EVIDENCE_LENGTH)).groupBy("source", "by").agg(
+        F.countDistinct("word").alias("k"), (odd("word") - odd("original")).alias("odder"), F.sum(F.col("n_original") - F.col("n")).alias("rarer")
+    )
+    sure = texts.where((F.col("k") >= EVIDENCE) & ((F.col("odder") > 0) | (F.col("odder") == 0) & (F.col("rarer") > 0))).select("source", "by")
+    best = F.max(F.struct(F.col("lossless").cast("int"), "n_original", "original", "chain", "lossless")).alias("b")
+    return own.join(sure, ["source", "by"]).groupBy("source", "word").agg(best, F.max("n").alias("n")).select("source", "word", "b.original", "b.chain", "b.lossless", "n")
+
+
+def garbled_words(vocabulary: DataFrame, found: DataFrame, shown: DataFrame) -> DataFrame:
     """(word, original, chain, lossless) of the words of ``vocabulary`` (word, n) that are garbled; one row per word.
 
-    A form of UTF-8 bytes counts as soon as its original is known, as one character became several. A form of a legacy
-    encoding, or one that dropped characters, counts where it is three characters long or more and its original stands in ``RATIO`` times as
-    many documents. Runs that no known word explains count where they fall into garbled forms of the corpus's characters.
-    Among several originals the one in most documents is taken that is not garbled itself.
+    ``found`` is their garbled table with ``n``; ``shown`` are words that texts show to be garbled. A form of UTF-8 bytes
+    counts as soon as its original is known, as one character became several. A form of a legacy encoding, or one that
+    dropped characters, counts where it is three characters long or more and its original stands in ``RATIO`` times as
+    many texts, or where most texts that hold it show it. Runs that no known word explains count where they fall into
+    garbled forms of the corpus's characters. Among several originals the one in most texts is taken that is not garbled itself.
     """
-    found = garbled_table(vocabulary).join(vocabulary.select(F.col("word").alias("garbled"), "n"), "garbled")
     direct = F.col("chain").startswith("utf-8") & (F.col("chain") != WITHOUT) & ~F.col("chain").endswith("ignored")
     long_cut = (F.col("chain") == WITHOUT) & (_foreign("garbled") >= 6)
     rare = (F.length("garbled") >= 3) & (F.col("n_original") >= RATIO * F.col("n"))
-    hits = cut(found.where((direct & (F.length("garbled") >= 2)) | long_cut | rare | (F.col("garbled") == LOST)))
+    counted = found.where((direct & (F.length("garbled") >= 2)) | long_cut | rare | (F.col("garbled") == LOST))
+    most = shown.groupBy("word", "original").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).where("2 * k >= n").select(F.col("word").alias("garbled"), "original")
+    hits = cut(counted.unionByName(found.join(most, ["garbled", "original"], "left_semi")).distinct())
     known = hits.select(F.col("garbled").alias("original"), F.lit(1).alias("bad")).distinct()
     order = F.struct(F.when(F.col("bad").isNull(), 1).otherwise(0), F.col("lossless").cast("int"), "n_original", "original", "chain", "lossless")
     best = hits.join(known, "original", "left").groupBy(F.col("garbled").alias("word")).agg(F.max(order).alias("b")).select("word", "b.original", "b.chain", "b.lossless")
@@ -315,9 +344,15 @@ def find_garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
     Null, empty and ASCII texts have none. Repeated keys are one document; other columns are ignored.
     """
     mine = cut(document_words(docs, key, text).distinct())
-    vocabulary = cut(mine.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    bad = garbled_words(vocabulary)
-    return mine.join(bad, "word").select(F.col("key").alias(key), "word", "original", "chain", "lossless")
+    vocabulary = cut(mine.select("word", "source").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    found = cut(garbled_table(vocabulary).join(vocabulary.select(F.col("word").alias("garbled"), "n"), "garbled"))
+    shown = cut(evident(mine, found))
+    bad = cut(garbled_words(vocabulary, found, shown))
+    here = shown.join(bad, "word", "left_anti").drop("n")  # garbled in these texts, clean in most others
+    every = mine.select("key", "word").distinct().join(bad, "word").unionByName(mine.select("key", "word", "source").join(here, ["source", "word"]).drop("source"))
+    # a repeated key may hold a word in several texts
+    one = every.groupBy("key", "word").agg(F.max(F.struct("original", "chain", "lossless")).alias("b"))
+    return one.select(F.col("key").alias(key), "word", "b.original", "b.chain", "b.lossless")
 
 
 def restore(docs: DataFrame, key: str, text: str) -> DataFrame:

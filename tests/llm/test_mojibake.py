@@ -73,3 +73,18 @@ def test_forms_say_what_can_be_undone(word):
         steps = chain.split(">")
         if lossless and len(steps) == 2:
             assert M._encode(form, steps[1]).decode(steps[0]) == word
+
+
+def test_copies_of_a_garbled_text_count_once(spark):
+    text = "нельзя определить без отрезка".encode("koi8-r").decode("cp1251")
+    clean = [f"Ответ нельзя определить без отрезка {i}" for i in range(6)]
+    df = frame(spark, clean + [text] * 5 + [f"{text} {clean[0].split()[0]}"])
+    assert sorted({r.doc_id for r in M.find_garbled(df, "doc_id", "text").collect()}) == list(range(6, 12))
+
+
+def test_several_words_of_one_text_are_evidence_without_a_ratio(spark):
+    pairs = [("Нельзя Определить", "koi8-r", "cp1251"), ("lässt bestätigen", "cp1252", "mac_roman"), ("Część została usunięta", "cp1250", "ansi")]
+    clean = [t for t, _, _ in pairs]
+    garbled = [M._decode(t.encode(a), b, "replace") for t, a, b in pairs]
+    got = {r.doc_id: r.restored for r in M.restore(frame(spark, clean + garbled), "doc_id", "text").collect()}
+    assert got[3] == clean[0] and got[4] == clean[1] and not {0, 1, 2} & set(got)
