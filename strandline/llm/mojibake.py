@@ -171,6 +171,10 @@ BY_CHARACTER = {f"utf-8>{c}": 1 for c in UTF8_READ_AS} | {
 }
 #: A legacy form counts as garbled where its original stands in so many times as many texts.
 RATIO = 3
+#: The same for forms of two characters. Of one character alone no ratio tells a form from a clean letter or sign.
+SHORT_RATIO = 100
+#: A symbol within a form of two characters, or a capital after a small letter: no clean word.
+SYMBOL = r"[^\p{L}\p{M}\p{N}\x00-\x7f]|\p{Ll}\p{Lu}"
 #: So many whole words of one text, of so many characters each, that are forms of known words along one chain are evidence.
 EVIDENCE, EVIDENCE_LENGTH = 2, 3
 #: What clean words do not look like: a symbol between letters, a capital after a small letter, two scripts, four accented Latin letters in a row.
@@ -298,13 +302,26 @@ def evident(mine: DataFrame, found: DataFrame) -> DataFrame:
     return own.join(sure, ["source", "by"]).groupBy("source", "word").agg(best, F.max("n").alias("n")).select("source", "word", "b.original", "b.chain", "b.lossless", "n")
 
 
-def garbled_words(vocabulary: DataFrame, found: DataFrame, shown: DataFrame) -> DataFrame:
+def short_forms(mine: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose form has two characters and an original in ``SHORT_RATIO`` times as many texts. One that
+    could be a word, of letters only, must never stand beside its original."""
+    legacy = ~F.col("chain").startswith("utf-8") & ~F.col("garbled").contains(LOST)
+    short = found.where(legacy & (F.length("garbled") == 2) & (F.col("n_original") >= SHORT_RATIO * F.col("n")))
+    letters = short.where(~F.col("garbled").rlike(SYMBOL))
+    own = mine.select("source", "word")
+    held = own.join(letters.select(F.col("garbled").alias("word"), "original").distinct(), "word").distinct()
+    both = held.join(own.withColumnRenamed("word", "original"), ["source", "original"], "left_semi").select(F.col("word").alias("garbled"), "original").distinct()
+    return short.where(F.col("garbled").rlike(SYMBOL)).unionByName(letters.join(both, ["garbled", "original"], "left_anti"))
+
+
+def garbled_words(vocabulary: DataFrame, found: DataFrame, shown: DataFrame, short: DataFrame) -> DataFrame:
     """(word, original, chain, lossless) of the words of ``vocabulary`` (word, n) that are garbled; one row per word.
 
-    ``found`` is their garbled table with ``n``; ``shown`` are words that texts show to be garbled. A form of UTF-8 bytes
+    ``found`` is their garbled table with ``n``; ``shown`` are words that texts show to be garbled, ``short`` the rows of short forms that count. A form of UTF-8 bytes
     counts as soon as its original is known, as one character became several. A form of a legacy encoding, or one that
     dropped characters, counts where it is three characters long or more and its original stands in ``RATIO`` times as
-    many texts, or where most texts that hold it show it. Runs that no known word explains count where they fall into
+    many texts, or where most texts that hold it show it (a short form elsewhere may come from another character, so it is
+    not restored there). Runs that no known word explains count where they fall into
     garbled forms of the corpus's characters. Among several originals the one in most texts is taken that is not garbled itself.
     """
     direct = F.col("chain").startswith("utf-8") & (F.col("chain") != WITHOUT) & ~F.col("chain").endswith("ignored")
@@ -312,7 +329,8 @@ def garbled_words(vocabulary: DataFrame, found: DataFrame, shown: DataFrame) ->
     rare = (F.length("garbled") >= 3) & (F.col("n_original") >= RATIO * F.col("n"))
     counted = found.where((direct & (F.length("garbled") >= 2)) | long_cut | rare | (F.col("garbled") == LOST))
     most = shown.groupBy("word", "original").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).where("2 * k >= n").select(F.col("word").alias("garbled"), "original")
-    hits = cut(counted.unionByName(found.join(most, ["garbled", "original"], "left_semi")).distinct())
+    promoted = found.join(most, ["garbled", "original"], "left_semi").withColumn("lossless", F.col("lossless") & (F.length("garbled") >= EVIDENCE_LENGTH))
+    hits = cut(counted.unionByName(short).unionByName(promoted).distinct())
     known = hits.select(F.col("garbled").alias("original"), F.lit(1).alias("bad")).distinct()
     order = F.struct(F.when(F.col("bad").isNull(), 1).otherwise(0), F.col("lossless").cast("int"), "n_original", "original", "chain", "lossless")
     best = hits.join(known, "original", "left").groupBy(F.col("garbled").alias("word")).agg(F.max(order).alias("b")).select("word", "b.original", "b.chain", "b.lossless")
@@ -347,11 +365,11 @@ def find_garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
     vocabulary = cut(mine.select("word", "source").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     found = cut(garbled_table(vocabulary).join(vocabulary.select(F.col("word").alias("garbled"), "n"), "garbled"))
     shown = cut(evident(mine, found))
-    bad = cut(garbled_words(vocabulary, found, shown))
-    here = shown.join(bad, "word", "left_anti").drop("n")  # garbled in these texts, clean in most others
-    every = mine.select("key", "word").distinct().join(bad, "word").unionByName(mine.select("key", "word", "source").join(here, ["source", "word"]).drop("source"))
-    # a repeated key may hold a word in several texts
-    one = every.groupBy("key", "word").agg(F.max(F.struct("original", "chain", "lossless")).alias("b"))
+    bad = cut(garbled_words(vocabulary, found, shown, short_forms(mine, found)))
+    # short forms, and words that are clean in most other texts, follow their own text
+    here = shown.join(bad.where(F.length("word") >= EVIDENCE_LENGTH), "word", "left_anti").drop("n").withColumn("own", F.lit(1))
+    every = mine.select("key", "word").join(bad.withColumn("own", F.lit(0)), "word").unionByName(mine.select("key", "word", "source").join(here, ["source", "word"]).drop("source"))
+    one = every.groupBy("key", "word").agg(F.max(F.struct("own", "original", "chain", "lossless")).alias("b"))
     return one.select(F.col("key").alias(key), "word", "b.original", "b.chain", "b.lossless")
 
 

@@ -88,3 +88,10 @@ def test_several_words_of_one_text_are_evidence_without_a_ratio(spark):
     garbled = [M._decode(t.encode(a), b, "replace") for t, a, b in pairs]
     got = {r.doc_id: r.restored for r in M.restore(frame(spark, clean + garbled), "doc_id", "text").collect()}
     assert got[3] == clean[0] and got[4] == clean[1] and not {0, 1, 2} & set(got)
+
+
+def test_short_legacy_forms_with_a_clear_ratio(spark):
+    clean = [f"Day {i}: 20 °C" for i in range(220)] + [f"Он {i} на лодке" for i in range(220)] + ["ОБ этом на лодке", "У 20"]
+    garbled = ["25 °C;".encode("mac_roman").decode("latin-1"), "20 °C".encode("cp1252").decode("mac_roman")]
+    got = {r.doc_id: r.restored for r in M.restore(frame(spark, clean + garbled), "doc_id", "text").collect()}
+    assert got == {442: "25 °C;", 443: "20 °C"}
