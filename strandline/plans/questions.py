@@ -180,6 +180,28 @@ def proj_qa_item(spark, sf_dir):
     return rows.select("row_id", F.coalesce(F.col("place") - 1, F.lit(-1)).alias("vocab_id"), F.coalesce(at, F.lit(-1)).cast("bigint").alias("choice_id"))
 
 
+#: Size of the reference's vocabulary; the three queries above keep the 20 of their SQL.
+VOCABULARY = 1000
+
+
+@R.add("agg_vocab_top1000", f"WITH {VOCAB_SQL} SELECT answer, n, place - 1 AS id FROM vocab WHERE place <= {VOCABULARY}")
+def agg_vocab_top1000(spark, sf_dir):
+    return vocabulary(spark, sf_dir, VOCABULARY).select("answer", "n", (F.col("place") - 1).alias("id"))
+
+
+@R.add("join_isin_vocab_top1000", f"WITH {VOCAB_SQL} SELECT row_id FROM questions q WHERE EXISTS (SELECT 1 FROM vocab v WHERE v.answer = q.answer AND place <= {VOCABULARY})")
+def join_isin_vocab_top1000(spark, sf_dir):
+    return questions(spark, sf_dir).join(F.broadcast(vocabulary(spark, sf_dir, VOCABULARY)), "answer", "left_semi").select("row_id")
+
+
+@R.add("proj_qa_item_top1000", f"WITH {VOCAB_SQL} SELECT q.row_id, coalesce(v.place - 1, -1) AS vocab_id, coalesce(list_position(options, q.answer) - 1, -1) AS choice_id FROM questions q LEFT JOIN vocab v ON v.answer = q.answer AND place <= {VOCABULARY}")
+def proj_qa_item_top1000(spark, sf_dir):
+    v = F.broadcast(vocabulary(spark, sf_dir, VOCABULARY).select("answer", "place"))
+    rows = questions(spark, sf_dir).join(v, "answer", "left")
+    at = F.array_position("options", F.col("answer")) - 1
+    return rows.select("row_id", F.coalesce(F.col("place") - 1, F.lit(-1)).alias("vocab_id"), F.coalesce(at, F.lit(-1)).cast("bigint").alias("choice_id"))
+
+
 @R.add("agg_majority_vote", f"WITH {QUESTIONS_SQL}, o AS (SELECT qid, answer, count(*) AS n, min(row_id) AS first FROM questions GROUP BY ALL) SELECT qid, arg_max(answer, {{'n': n, 'f': -first}}) AS answer, max(n) AS n FROM o GROUP BY qid")
 def agg_majority_vote(spark, sf_dir):
     """The most common answer per qid, the first seen on ties."""
