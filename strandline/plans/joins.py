@@ -320,6 +320,35 @@ def agg_dvc(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hp), 9).alias("precision_03"), F.round(F.avg(hg), 9).alias("recall_03"))
 
 
+#: Thresholds of the reference.
+DVC_IOUS = (0.1, 0.3, 0.5, 0.7)
+
+
+@R.add("agg_dvc_all")
+def agg_dvc_all(spark, sf_dir):
+    """Precision, recall and F1 of predicted spans at each threshold, over all replies to questions with evidence.
+
+    Replies without spans failed. Of the others the last of a video counts, with its first 1,000 spans; means over videos
+    are scaled by videos per reply, so failed replies lower them. ``mean_f1`` is the mean over the thresholds.
+    """
+    rows = with_hits(spark, sf_dir).select("row_id", "video_id", F.slice("pred", 1, 1000).alias("pred"), iv.clean(F.col("evidence_intervals")).alias("gold")).where("size(gold) > 0")
+    counts = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.coalesce(F.size("pred") > 0, F.lit(False))).alias("failed"))
+    last = rows.where("size(pred) > 0").groupBy("video_id").agg(F.max_by(F.struct("pred", "gold"), "row_id").alias("m")).select("m.pred", "m.gold")
+
+    def share(of: str, among: str, least: float):
+        return F.size(F.filter(of, lambda x: F.exists(among, lambda y: iv.iou_captions(x, y) > least))) / F.size(of)
+
+    sums = [F.sum(share(a, b, t)).alias(f"{n}{i}") for i, t in enumerate(DVC_IOUS) for n, a, b in (("p", "pred", "gold"), ("r", "gold", "pred"))]
+    one = counts.crossJoin(last.agg(F.count(F.lit(1)).alias("videos"), *sums))  # one row each
+    # the mean over videos times videos / total
+    scaled = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("total")), F.lit(0.0))
+    f1 = lambda i: F.coalesce(F.try_divide(2 * scaled(f"p{i}") * scaled(f"r{i}"), scaled(f"p{i}") + scaled(f"r{i}")), F.lit(0.0))
+    at = [F.struct(F.lit(t).alias("iou"), scaled(f"p{i}").alias("p"), scaled(f"r{i}").alias("r"), f1(i).alias("f")) for i, t in enumerate(DVC_IOUS)]
+    mean = sum(f1(i) for i in range(len(DVC_IOUS))) / len(DVC_IOUS)
+    out = one.select("total", "failed", "videos", mean.alias("mean"), F.explode(F.array(*at)).alias("x"))
+    return out.select("x.iou", "total", "failed", "videos", *[F.round(f"x.{c}", 9).alias(n) for c, n in (("p", "precision"), ("r", "recall"), ("f", "f1"))], F.round("mean", 9).alias("mean_f1"))
+
+
 @R.add("agg_collect_tables", f"WITH {HITS_SQL}, s AS (SELECT task, sampling, avg(CASE WHEN pred_answer IS NOT DISTINCT FROM answer THEN 1.0 ELSE 0 END) AS acc FROM hit GROUP BY ALL) SELECT task, round(avg(acc), 9) AS mean_acc, round(max(acc) FILTER (sampling = 'uniform'), 9) AS uniform, round(max(acc) FILTER (sampling = 'evidence'), 9) AS evidence FROM s GROUP BY ALL")
 def agg_collect_tables(spark, sf_dir):
     """Accuracy per task: mean over the samplings, and one column each."""
