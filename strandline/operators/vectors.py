@@ -64,3 +64,72 @@ def top_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: i
         out = out.unionByName(p)
     best = out.groupBy(f"query_{key}").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("key")))).alias("m"))  # k per task and query
     return best.select(f"query_{key}", F.posexplode(F.slice("m", 1, k)).alias("p", "x")).select(f"query_{key}", F.col("x.key").alias(key), (-F.col("x.s")).alias("score"), (F.col("p") + 1).cast("bigint").alias("place"))
+
+
+def target_ranks(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, *, block: int = 1024) -> DataFrame:
+    """(target, n_above, n_ties) of each query: rows that score above its target and rows that score the same, counted over all rows.
+
+    The target ``self`` is the row of the query's own key, as on the diagonal of a similarity matrix; ``label`` is the best
+    other row of its label, the query itself left out of the count. Queries without a target give no row. The queries go
+    to every task in blocks of ``block`` vectors, once for the targets' scores and once for the counts; what is shuffled is
+    one row per query and batch of rows. Null and odd-sized vectors take no part. Scores are summed in one order, so that
+    both passes agree to the last bit.
+    """
+    spark = rows.sparkSession
+    first = rows.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
+    schema = "target string, n_above bigint, n_ties bigint"
+    if first is None:
+        return spark.createDataFrame([], schema)
+    size = first["n"]
+    good = lambda df: df.where((F.size(vector) == size) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))).select(F.col(key).alias("key"), F.col(vector).alias("vec"), F.col(label).alias("label"))
+    numbered, whole = good(queries).orderBy("key"), good(rows)
+    parts: list[DataFrame] = []
+    for low in range(0, numbered.count(), block):
+        some = numbered.offset(low).limit(block).collect()  # one block of vectors
+        mine = (np.array([r.key for r in some]), np.array([r.vec for r in some], dtype=np.float64), np.array([r.label for r in some], dtype=object))
+
+        def scored(batches: Iterator[pa.RecordBatch], mine: tuple) -> Iterator[tuple]:
+            ids, mat, labels = mine
+            for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+                vecs = _matrix(batch.column(1), size)
+                scores = np.zeros((len(ids), len(vecs)))
+                for d in range(size):
+                    scores += mat[:, d : d + 1] * vecs[:, d]
+                own = ids[:, None] == np.array(batch.column(0).to_pylist())[None, :]
+                theirs = np.array(batch.column(2).to_pylist(), dtype=object)
+                alike = np.array([[a is not None and a == b for b in theirs] for a in labels]).reshape(own.shape) if len(theirs) else own
+                yield scores, own, alike & ~own
+
+        shared = spark.sparkContext.broadcast(mine)
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            top = np.full((2, len(shared.value[0])), -np.inf)
+            for scores, own, alike in scored(batches, shared.value):
+                for t, which in enumerate((own, alike)):
+                    top[t] = np.maximum(top[t], np.where(which, scores, -np.inf).max(axis=1, initial=-np.inf))
+            t, q = np.nonzero(top > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(q, pa.int64()), pa.array(top[t, q], pa.float64())], names=["t", "q", "score"])
+
+        goal = np.full((2, len(some)), np.nan)
+        for r in whole.mapInArrow(best, "t bigint, q bigint, score double").groupBy("t", "q").agg(F.max("score").alias("score")).collect():  # two rows a query of the block
+            goal[r.t, r.q] = r.score
+        goals = spark.sparkContext.broadcast(goal)
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared, goals=goals) -> Iterator[pa.RecordBatch]:
+            goal = goals.value
+            above, ties = np.zeros(goal.shape, dtype=np.int64), np.zeros(goal.shape, dtype=np.int64)
+            for scores, own, _ in scored(batches, shared.value):
+                for t, among in enumerate((np.ones_like(own), ~own)):
+                    above[t] += ((scores > goal[t][:, None]) & among).sum(axis=1)
+                    ties[t] += ((scores == goal[t][:, None]) & among).sum(axis=1)
+            t, q = np.nonzero(above + ties)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(q, pa.int64()), pa.array(above[t, q], pa.int64()), pa.array(ties[t, q], pa.int64())], names=["t", "q", "above", "ties"])
+
+        counts = whole.mapInArrow(count, "t bigint, q bigint, above bigint, ties bigint").groupBy("t", "q").agg(F.sum("above").alias("n_above"), F.sum("ties").alias("n_ties"))
+        parts.append(counts.select(F.when(F.col("t") == 0, "self").otherwise("label").alias("target"), "n_above", "n_ties"))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -9,7 +9,7 @@ from strandline.functions import intervals as iv
 from strandline.functions import sampling as sm
 from strandline.functions import text as tx
 from strandline.functions import times as tm
-from strandline.operators.vectors import top_matches
+from strandline.operators.vectors import target_ranks, top_matches
 from strandline.plans.anchors import ANCHORS_SQL, anchors
 from strandline.plans.registry import Registry
 from strandline.session import table
@@ -220,6 +220,17 @@ def agg_recall_at_k(spark, sf_dir):
     return h.agg(*[F.round(F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double")), 9).alias(f"r{k}") for k in (1, 5, 10)])
 
 
+@R.add("agg_retrieval_ranks")
+def agg_retrieval_ranks(spark, sf_dir):
+    """R1, R10, R100 and the median rank of the queries' targets (see ``target_ranks``) among all rows. As in the
+    reference, a target that scores the same as other rows takes every rank that they share."""
+    e = table(spark, sf_dir, "embeddings")
+    ranks = target_ranks(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", "label")
+    ranks = ranks.select("target", F.explode(F.sequence(F.col("n_above") + 1, F.col("n_above") + F.col("n_ties"))).alias("place"))
+    recall = [F.round(F.avg((F.col("place") <= k).cast("double")), 9).alias(f"r{k}") for k in (1, 10, 100)]
+    return ranks.groupBy("target").agg(F.count(F.lit(1)).alias("n"), *recall, F.percentile("place", 0.5).alias("median_rank"))
+
+
 @R.add("win_argmax_first", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS at FROM embeddings")
 def win_argmax_first(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", (F.array_position("embedding", F.array_max("embedding")) - 1).alias("at"))
