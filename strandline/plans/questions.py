@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import sampling as sm
 from strandline.functions import text as tx
 from strandline.functions.keys import QID_SQL, VIDEO_SQL, qid_key, video_key
+from strandline.operators.ordered_scan import range_sorted
 from strandline.plans.registry import Registry
-from strandline.session import table
+from strandline.session import cut, table
 
 R = Registry()
 OPTIONS = ["a0", "a1", "a2", "a3", "a4"]
@@ -347,6 +349,64 @@ def smp_neg_choices(spark, sf_dir):
     return o.withColumn("p", F.row_number().over(Window.partitionBy("kind").orderBy("first"))).where("p <= 4").select("kind", "answer")
 
 
+#: Options of a question, and the share of questions whose distractors are replaced, in hundredths; as in the reference.
+CHOICES, REPLACED_PCT = len(OPTIONS), 30
+
+
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """``df`` with ``at``, its place from 0 in the order of ``by``: counted per partition, so that no task holds all."""
+    rows = range_sorted(df, by).withColumn("part", F.spark_partition_id())
+    sizes = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # one row per partition
+    before, upto = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        before.append(upto)
+        upto += sizes.get(part, 0)
+    start = F.get(F.array(*map(F.lit, before or [0])), F.col("part"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
+    return rows.withColumn("at", (start + within).cast("bigint")).drop("part")
+
+
+def negative_choices(rows: DataFrame, pct: int, seed: int) -> DataFrame:
+    """(row_id, choices, answer_id): new options for a seeded ``pct`` hundredths of ``rows`` (row_id, kind, answer).
+
+    The distractors are drawn from the other distinct answers of the question's kind, or of all kinds where that has fewer
+    than are needed; the question's own answer stands among them at a seeded place. Drawn by number: an answer's
+    number is its place in its pool, so a question never meets the whole pool. Questions without an answer take no part.
+    """
+    need = CHOICES - 1
+    rows = rows.where("answer IS NOT NULL")
+    typed = rows.where("kind IS NOT NULL").select("kind", "answer").distinct()
+    index = typed.withColumn("at", F.row_number().over(Window.partitionBy("kind").orderBy("answer")).cast("bigint") - 1)
+    whole = numbered(rows.select("answer").distinct(), "answer").withColumn("kind", F.lit(None).cast("string"))
+    index = cut(index.unionByName(whole))
+    sizes = index.groupBy("kind").agg(F.count(F.lit(1)).alias("m"))
+    picked = rows.where(F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(100)) < pct)
+    large = sizes.where((F.col("m") > need) & F.col("kind").isNotNull()).select("kind", F.lit(True).alias("enough"))
+    picked = picked.join(large, "kind", "left").select("row_id", "answer", F.when(F.col("enough"), F.col("kind")).alias("kind"))
+    own = picked.alias("q").join(index.alias("i"), F.col("q.kind").eqNullSafe(F.col("i.kind")) & (F.col("q.answer") == F.col("i.answer"))).select("q.row_id", "q.answer", "q.kind", F.col("i.at").alias("own"))
+    sizes = sizes.select(F.col("kind").alias("k"), "m")
+    own = own.join(sizes, F.col("kind").eqNullSafe(F.col("k"))).drop("k")
+
+    def draw(taken, j):
+        r = F.pmod(F.xxhash64("row_id", F.lit(seed), j), F.col("m") - F.size(taken))
+        # the r-th number that is not taken
+        return F.concat(taken, F.array(F.aggregate(F.array_sort(taken), r, lambda x, t: F.when(t <= x, x + 1).otherwise(x))))
+
+    turns = sm.steps(F.least(F.lit(need), F.col("m") - 1))
+    taken = F.aggregate(turns, F.array("own"), draw)
+    drawn = own.select("row_id", "answer", "kind", F.posexplode_outer(F.slice(taken, 2, need)).alias("j", "at"))
+    got = drawn.alias("d").join(index.alias("i"), F.col("d.kind").eqNullSafe(F.col("i.kind")) & (F.col("d.at") == F.col("i.at")), "left").select("d.row_id", F.col("d.answer").alias("right"), "d.j", "i.answer")
+    sets = got.groupBy("row_id", "right").agg(F.sort_array(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", "answer")))).alias("o"))  # at most need
+    sets = sets.withColumn("answer_id", F.pmod(F.xxhash64("row_id", F.lit(seed), F.lit("place")), F.size("o") + 1))
+    return sets.select("row_id", F.array_insert(F.col("o.answer"), (F.col("answer_id") + 1).cast("int"), F.col("right")).alias("choices"), "answer_id")
+
+
+@R.add("smp_neg_choices_all")
+def smp_neg_choices_all(spark, sf_dir):
+    """Options of the questions whose distractors are replaced by other answers of their type."""
+    return negative_choices(questions(spark, sf_dir).select("row_id", F.col("type").alias("kind"), "answer"), REPLACED_PCT, 0)
+
+
 @R.add("smp_neg_questions", f"""WITH {QUESTIONS_SQL}, o AS (SELECT video_id, question, min(row_id) AS first FROM questions GROUP BY ALL), r AS (SELECT *, lead(question) OVER (PARTITION BY video_id ORDER BY first) AS other FROM o)
 SELECT video_id, question, other FROM r WHERE other IS NOT NULL""")
 def smp_neg_questions(spark, sf_dir):
