@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import intervals as iv
@@ -290,6 +292,41 @@ def agg_rvq(spark, sf_dir):
     return rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("ok").cast("double")), 9).alias("acc"), F.count_if("failed").alias("failed"))
 
 
+def judged_choices(rows: DataFrame, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``rows`` (reply, choices, answer as a letter) with ``ok`` and ``failed``.
+
+    In this order, until one is right: ``(X)`` anywhere in the reply; its leading letter, after ``best option:`` and an
+    opening bracket, if nothing or one of ``. , )`` and a blank follows; the option that ``similarity`` puts nearest to the reply
+    ("(A) text"), the first of equals, also after a wrong letter. A reply failed where no letter was found at all; without
+    ``similarity`` the last step is left out.
+    """
+    size = F.coalesce(F.size("choices"), F.lit(0))
+    reply = F.coalesce("reply", F.lit(""))
+    gold = F.ascii(F.upper("answer")) - F.ascii(F.lit("A"))
+    letter = lambda c: F.when(c != "", F.ascii(F.upper(c)) - F.ascii(F.lit("A")))
+    right = lambda at: F.coalesce((at == gold) & (at < size), F.lit(False))
+    marked = F.regexp_extract(reply, r"\(([A-Za-z])\)", 1)
+    bare = F.regexp_replace(F.regexp_replace(F.lower(reply), r"^best option:", ""), r"^\s*\(*\s*", "")
+    leading = F.regexp_extract(bare, r"(?s)^([a-z])(?:$|[., )])", 1)
+    alone = (F.length(bare) == 1) | F.substring(bare, 2, 1).isin(".", ",", " ", ")")
+    rows = rows.withColumns({"_marked": right(letter(marked)), "_leading": (bare != "") & right(letter(leading)), "_matched": (marked != "") | (bare != "") & alone, "_bare": bare, "_gold": gold})
+    ok = F.col("_marked") | F.col("_leading")
+    if similarity is not None:
+        options = F.transform("choices", lambda o, i: F.concat(F.lit("("), F.char(i + F.ascii(F.lit("A"))), F.lit(") "), o))
+        rows = rows.withColumn("_sims", similarity(F.col("_bare"), options))
+        nearest = F.array_position("_sims", F.array_max("_sims")) - 1
+        ok = ok | (F.col("_bare") != "") & F.coalesce(nearest == F.col("_gold"), F.lit(False))
+    failed = ~F.col("_marked") & ((F.col("_bare") == "") | ~F.col("_matched"))
+    return rows.withColumns({"ok": ok, "failed": failed}).drop("_marked", "_leading", "_matched", "_bare", "_gold", "_sims")
+
+
+@R.add("agg_rvq_all")
+def agg_rvq_all(spark, sf_dir, similarity=None):
+    """Accuracy per task by the whole chain of ``judged_choices``; the raw reply stands in where none was parsed."""
+    rows = responses(spark, sf_dir).select("task", F.coalesce(rp.field(F.col("v"), "answer"), "model_response").alias("reply"), "choices", "answer")
+    return judged_choices(rows, similarity).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("ok").cast("double")), 9).alias("acc"), F.count_if("failed").alias("failed"))
+
+
 @R.add("agg_gvq", f"""WITH {HITS_SQL}, s AS (SELECT pred_answer = answer AS ok, list_max(list_transform(gold, lambda g: greatest(0, coalesce((least(pred[1]."end", g."end") - greatest(pred[1].start, g.start)) / nullif(greatest(pred[1]."end", g."end") - least(pred[1].start, g.start), 0), 0)))) AS iou FROM hit)
 SELECT count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END), 9) AS acc, round(sum(CASE WHEN ok THEN coalesce(iou, 0) ELSE 0 END) / count(*), 9) AS rec FROM s""")
 def agg_gvq(spark, sf_dir):
