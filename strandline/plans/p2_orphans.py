@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.keys import QID_SQL, VIDEO_SQL, qid_key, video_key
-from strandline.operators.orphans import find_orphans
+from strandline.operators.orphans import count_orphans, find_orphans
 from strandline.plans.registry import Registry
 from strandline.session import table
 
@@ -59,5 +59,5 @@ SELECT ref_table, strftime(date_trunc('month', created_at AT TIME ZONE 'UTC'), '
 )
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans per referring table, month and reason."""
-    found = orphans(spark, sf_dir)
-    return found.groupBy("ref_table", F.date_format("period", "yyyy-MM").alias("month"), "reason").agg(F.count(F.lit(1)).alias("n"))
+    made = count_orphans(references(spark, sf_dir), anchors(spark, sf_dir), ["video_id", "qid"], "created_at", "loaded_at", "deleted_at", ["ref_table"])
+    return made.select("ref_table", F.date_format("period", "yyyy-MM").alias("month"), "reason", "n")

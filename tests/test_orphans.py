@@ -1,11 +1,12 @@
 """Orphan references against brute force, with heavy keys on either side."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from strandline.operators.orphans import find_orphans
+from strandline.operators.orphans import count_orphans, find_orphans
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -27,7 +28,7 @@ def brute(refs, targets):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"share": 0.1, "least": 10}, {"share": 0.1, "least": 10, "broadcast_rows": 1}])
+@pytest.mark.parametrize("options", [{}, {"share": 0.9}, {"share": 0.1}, {"share": 0.1, "broadcast_rows": 1}])
 def test_equals_brute_force(spark, options):
     rnd = random.Random(5)
     key = lambda: ("hot", "1") if rnd.random() < 0.4 else (rnd.choice(["a", "b", "c", None]), rnd.choice(["1", "2", None]))
@@ -40,6 +41,10 @@ def test_equals_brute_force(spark, options):
     got = find_orphans(r, t, ["video_id", "qid"], "at", "loaded", "deleted", **options)
     assert got.columns == ["id", "video_id", "qid", "at", "known", "period", "reason"]
     assert sorted((x.id, x.reason) for x in got.collect()) == brute(refs, targets)
+    by_id = {r[0]: r for r in refs}
+    want = Counter((by_id[i][1], at(by_id[i][3]).strftime("%Y-%m"), reason) for i, reason in brute(refs, targets))
+    made = count_orphans(r, t, ["video_id", "qid"], "at", "loaded", "deleted", ["video_id"], **options)
+    assert {(x.video_id, x.period.strftime("%Y-%m"), x.reason): x.n for x in made.collect()} == want
 
 
 def test_empty_tables(spark):
