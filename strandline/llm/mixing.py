@@ -5,8 +5,12 @@ others keep their own targets, and the mix is that much smaller: so no source st
 caps force. Every source is laid out in one fixed shuffled order, repeated as often
 as its target asks, and cut into blocks of equal size. Block j of a source with weight w is released at slot floor(j/w)
 and due at ceil((j+1)/w); earliest deadline first over the released blocks puts each source within one block of its
-share at every point of the mix. A block is never smaller than ``block_tokens`` and a mix never has more than
-``max_blocks`` of them, so the schedule is of bounded size; the documents get their positions by one global sort.
+share at every point of the mix.
+
+No block has more than ``block_tokens`` tokens, whatever the size of the mix. Weights are shares of one hyperperiod of at most
+``period_blocks`` slots and one more per source: every source is cut into as many equal blocks per hyperperiod, the
+schedule of one hyperperiod is computed on the driver, and it is repeated until the sources are used up, which all are
+at the end of the last one. The documents get their positions by one global sort.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +40,27 @@ class Share:
     wanted: float = 0.0
     tokens: int = 0
     limited_by: str | None = None
-    slots: np.ndarray | None = None
+    slots: np.ndarray | None = None  # of one hyperperiod
+
+
+@dataclass
+class Part:
+    """A source's part of a mix as the tasks need it: ``tokens`` in ``periods`` times ``len(slots)`` equal blocks."""
+
+    mix: str
+    tokens: int
+    supply: int
+    periods: int
+    width: int
+    slots: np.ndarray
+
+    def at(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot and place of the pieces that start at the given tokens of the source."""
+        per = len(self.slots)
+        total = self.periods * per
+        block = np.minimum((start.astype(object) * total // self.tokens if self.tokens * total > 2**62 else start * total // self.tokens).astype(np.int64), total - 1)
+        first = -(-(block.astype(object) * self.tokens if self.tokens * total > 2**62 else block * self.tokens) // total)
+        return block // per * self.width + self.slots[block % per], start - np.asarray(first, dtype=np.int64)
 
 
 def targets(sources: dict[str, Share], total: float) -> None:
@@ -69,8 +94,8 @@ def schedule(blocks: dict[str, int]) -> dict[str, np.ndarray]:
     return out
 
 
-def plan_mixes(mixes: list, supply: dict[str, int], everything: int, block_tokens: int, max_blocks: int) -> tuple[dict[str, dict[str, Share]], dict[str, int]]:
-    """({mix: {source: share}}, {mix: tokens of a block}). Rows of a mix with the same source add their weights, the
+def plan_mixes(mixes: list, supply: dict[str, int], everything: int, block_tokens: int, period_blocks: int) -> tuple[dict[str, dict[str, Share]], dict[str, int]]:
+    """({mix: {source: share}}, {mix: hyperperiods}). Rows of a mix with the same source add their weights, the
     smallest cap holds; null, negative and NaN weights count as 0; a null cap is none, a negative one is 0."""
     plans: dict[str, dict[str, Share]] = defaultdict(dict)
     size: dict[str, float] = {}
@@ -83,24 +108,25 @@ def plan_mixes(mixes: list, supply: dict[str, int], everything: int, block_token
         s.weight += w
         s.cap = cap if s.cap is None else s.cap if cap is None else min(s.cap, cap)
         size[r.mix_id] = max(size.get(r.mix_id, 0.0), r.size_share or 0.0)
-    block: dict[str, int] = {}
+    periods: dict[str, int] = {}
     for mix, sources in plans.items():
         targets(sources, size[mix] * everything)
         chosen = sum(s.tokens for s in sources.values())
-        block[mix] = max(block_tokens, -(-chosen // max(max_blocks - len(sources), 1)))
-        slots = schedule({k: -(-s.tokens // block[mix]) for k, s in sorted(sources.items())})
+        periods[mix] = max(1, -(-chosen // (block_tokens * period_blocks)))
+        slots = schedule({k: -(-s.tokens // (block_tokens * periods[mix])) for k, s in sorted(sources.items())})
         for k, s in sources.items():
             s.slots = slots[k]
-    return dict(plans), block
+    return dict(plans), periods
 
 
-def mix(sizes: DataFrame, key: str, source: str, tokens: str, mixes: DataFrame, *, block_tokens: int = 4096, max_blocks: int = 65_536) -> tuple[DataFrame, DataFrame]:
+def mix(sizes: DataFrame, key: str, source: str, tokens: str, mixes: DataFrame, *, block_tokens: int = 4096, period_blocks: int = 65_536, repeats: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(selection, shares).
 
     selection: (mix_id, slot, place, *key, source, repeat_no, tokens): in order of (mix_id, slot, place) the mix itself;
     ``repeat_no`` counts the uses of a document from 0. Documents of 0 tokens and of null source are in no mix; the
     size of a mix is its ``size_share`` of the tokens of all documents. The selection differs from the target of a
-    source by less than one document. shares: one row per mix and source with wanted and reached tokens and shares,
+    source by less than one document. ``repeats``: so many uses of a document are made by one task; where a source asks
+    for more, the uses are spread over the cluster. Neither it nor ``period_blocks`` changes what is chosen. shares: one row per mix and source with wanted and reached tokens and shares,
     also for sources that give nothing. ``mixes`` is a configuration table and is collected.
     """
     spark = sizes.sparkSession
@@ -113,13 +139,14 @@ def mix(sizes: DataFrame, key: str, source: str, tokens: str, mixes: DataFrame,
     everything = rows.agg(F.sum("tokens")).first()[0] or 0
     ordered = range_sorted(used.select("source", F.xxhash64("key").alias("h"), "key", "tokens"), "source", "h", "key")
     supply = {r.source: r.n for r in ordered.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # sources of the targets only
-    plans, block = plan_mixes(wanted, supply, everything, block_tokens, max_blocks)
-    by_source: dict[str, list] = defaultdict(list)
+    plans, periods = plan_mixes(wanted, supply, everything, block_tokens, period_blocks)
+    by_source: dict[str, list[Part]] = defaultdict(list)
     for m in sorted(plans):
+        width = sum(len(s.slots) for s in plans[m].values())
         for k, s in plans[m].items():
             if s.tokens:
-                by_source[k].append((m, s.tokens, block[m], s.slots))
-    shared = spark.sparkContext.broadcast((dict(by_source), supply))
+                by_source[k].append(Part(m, s.tokens, supply[k], periods[m], width, s.slots))
+    shared = spark.sparkContext.broadcast(dict(by_source))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> dict | None:
         first = last = None
@@ -141,10 +168,10 @@ def mix(sizes: DataFrame, key: str, source: str, tokens: str, mixes: DataFrame,
         carry[part] = state
         state = (s["last"], s["total"] + (state[1] if state is not None and state[0] == s["first"] == s["last"] else 0))
 
-    schema = f"mix_id string, slot bigint, place bigint, key {kind}, source string, repeat_no bigint, tokens bigint"
+    uses = f"number int, source string, key {kind}, tokens bigint, before bigint, first bigint, n bigint"
 
     def scan(state: tuple | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uses, supplies = shared.value
+        """Uses of each document by each mix, at most ``repeats`` in a row; ``number`` is the mix's place among the source's."""
         for b in batches:
             codes = np.array(b.column(0).to_pylist(), dtype=object)
             n = b.column(3).to_numpy(zero_copy_only=False)
@@ -154,31 +181,49 @@ def mix(sizes: DataFrame, key: str, source: str, tokens: str, mixes: DataFrame,
                 name, size = codes[at], n[at:end]
                 before = np.cumsum(size) - size + (state[1] if state is not None and state[0] == name else 0)
                 state = (name, int(before[-1] + size[-1]))
-                for mix_id, target, width, slots in uses.get(name, ()):
-                    passes, rest = divmod(target, supplies[name])
+                for number, part in enumerate(shared.value.get(name, ())):
+                    passes, rest = divmod(part.tokens, part.supply)
                     times = passes + (2 * before + size < 2 * rest)
-                    row = np.repeat(np.arange(len(size)), times)
-                    repeat = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                    start = repeat * supplies[name] + before[row]
-                    slot = np.minimum(start // width, len(slots) - 1)
-                    # long pieces are handed on in steps, so that a batch stays small however often it is repeated
-                    for low in range(0, len(row), 100_000):
-                        cut = slice(low, low + 100_000)
+                    first = 0
+                    while (row := np.where(times > first)[0]).size:  # a document with many uses goes on in further batches
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([mix_id] * len(row[cut]), pa.string()),
-                                pa.array(slots[slot[cut]], pa.int64()),
-                                pa.array(start[cut] - slot[cut] * width, pa.int64()),
-                                b.column(2).take(pa.array(row[cut] + at)),
-                                pa.array([name] * len(row[cut]), pa.string()),
-                                pa.array(repeat[cut], pa.int64()),
-                                pa.array(size[row[cut]], pa.int64()),
+                                pa.array(np.full(len(row), number), pa.int32()), pa.array([name] * len(row), pa.string()), b.column(2).take(pa.array(row + at)), pa.array(size[row], pa.int64()),
+                                pa.array(before[row], pa.int64()), pa.array(np.full(len(row), first), pa.int64()), pa.array(np.minimum(times[row] - first, repeats), pa.int64()),
                             ],
-                            names=["mix_id", "slot", "place", "key", "source", "repeat_no", "tokens"],
-                        )
+                            names=["number", "source", "key", "tokens", "before", "first", "n"],
+                        )
+                        first += repeats
                 at = end
 
-    chosen = rescan(ordered, carry, scan, schema)
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per use, from no more than some 100,000 at a time."""
+        for b in batches:
+            b = b.take(pa.compute.sort_indices(b, [("source", "ascending"), ("number", "ascending")]))
+            number, size, before, first, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5, 6))
+            source = b.column(1).to_numpy(zero_copy_only=False)
+            change = np.where(np.append((source[1:] != source[:-1]) | (number[1:] != number[:-1]), True))[0] + 1
+            at = 0
+            for end in change:
+                part = shared.value[source[at]][number[at]]
+                while at < end:
+                    stop = at + max(1, int(np.searchsorted(np.cumsum(n[at:end]), 100_000, side="right")))
+                    row = np.repeat(np.arange(at, stop), n[at:stop])
+                    repeat = np.arange(len(row)) - np.repeat(np.cumsum(n[at:stop]) - n[at:stop], n[at:stop]) + first[row]
+                    slot, place = part.at(repeat * part.supply + before[row])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([part.mix] * len(row), pa.string()), pa.array(slot, pa.int64()), pa.array(place, pa.int64()), b.column(2).take(pa.array(row)),
+                            pa.array([source[at]] * len(row), pa.string()), pa.array(repeat, pa.int64()), pa.array(size[row], pa.int64()),
+                        ],
+                        names=["mix_id", "slot", "place", "key", "source", "repeat_no", "tokens"],
+                    )
+                    at = stop
+
+    used_by = rescan(ordered, carry, scan, uses)
+    if any(part.tokens // part.supply >= repeats for parts in by_source.values() for part in parts):
+        used_by = used_by.repartition("key", "first")  # a small source asked for often lies in few tasks
+    chosen = used_by.mapInArrow(expand, f"mix_id string, slot bigint, place bigint, key {kind}, source string, repeat_no bigint, tokens bigint")
     config = [(m, k, float(s.weight), s.cap, int(s.supply), float(s.wanted), s.limited_by) for m, sources in sorted(plans.items()) for k, s in sorted(sources.items())]
     plan = spark.createDataFrame(config, "mix_id string, source string, weight double, max_repeats int, supply_tokens bigint, wanted_tokens double, limited_by string")
     reached = chosen.groupBy("mix_id", "source").agg(F.sum("tokens").alias("reached_tokens"), F.count(F.lit(1)).alias("n_uses"), (F.max("repeat_no") + 1).alias("most_uses"))

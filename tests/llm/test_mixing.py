@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,7 +32,8 @@ def documents(spark, rnd, n=1500):
     return rows, spark.createDataFrame([(*r, "x", 1) for r in rows], SIZES).repartition(5)
 
 
-def test_shares_caps_and_order(spark):
+@pytest.mark.parametrize(("period", "repeats"), [(64, 1024), (10_000, 1024), (7, 2)])
+def test_shares_caps_and_order(spark, period, repeats):
     rows, df = documents(spark, random.Random(6))
     total = sum(r[2] or 0 for r in rows)
     supply = Counter()
@@ -39,7 +41,7 @@ def test_shares_caps_and_order(spark):
         supply[s] += t or 0
     targets = [("m", "big", 3.0, 2, 0.5), ("m", "mid", 1.0, 2, 0.5), ("m", "tiny", 2.0, 3, 0.5), ("m", "absent", 1.0, 2, 0.5), ("m", "small", 0.0, 2, 0.5),
                ("free", "tiny", 1.0, None, 0.2), ("free", "mid", 1.0, None, 0.2), ("free", "mid", 1.0, None, 0.2), ("none", "big", 0.0, None, 1.0), ("none", "mid", None, None, 1.0), (None, "big", 1.0, None, 1.0)]
-    chosen, shares = mix(df, "doc_id", "source", "tokens", spark.createDataFrame(targets, TARGETS), block_tokens=500, max_blocks=64)
+    chosen, shares = mix(df, "doc_id", "source", "tokens", spark.createDataFrame(targets, TARGETS), block_tokens=500, period_blocks=period, repeats=repeats)
     chosen, shares = chosen.collect(), {(r.mix_id, r.source): r for r in shares.collect()}
     tokens = {i: t for i, _, t in rows}
     got, uses = Counter(), Counter()
@@ -59,7 +61,6 @@ def test_shares_caps_and_order(spark):
     for r in chosen:
         by[r.mix_id].append(r)
     for m, items in by.items():
-        block = max(500, -(-sum(got[k] for k in got if k[0] == m) // 60))
         items.sort(key=lambda r: (r.slot, r.place))
         end = {r.slot: i for i, r in enumerate(items)}
         run, per, size = 0, Counter(), sum(r.tokens for r in items)
@@ -67,7 +68,29 @@ def test_shares_caps_and_order(spark):
             run += r.tokens
             per[r.source] += r.tokens
             if end[r.slot] == i:
-                assert all(abs(per[s] - got[m, s] / size * run) <= 2 * block + 400 for s in {k[1] for k in got if k[0] == m})
+                assert all(abs(per[s] - got[m, s] / size * run) <= 2 * 500 + 400 for s in {k[1] for k in got if k[0] == m})
+
+
+def test_a_tiny_source_repeated_very_often_and_more_blocks_than_a_hyperperiod(spark):
+    df = spark.createDataFrame([(1, "tiny", 3, "x", 1), (2, "tiny", 4, "x", 1)] + [(10 + i, "big", 1000, "x", 1) for i in range(200)], SIZES)
+    targets = spark.createDataFrame([("m", "tiny", 1.0, None, 1.0), ("m", "big", 1.0, 1, 1.0)], TARGETS)
+    base = None
+    for period, repeats in ((16, 100), (4096, 10**6)):
+        chosen = mix(df, "doc_id", "source", "tokens", targets, block_tokens=500, period_blocks=period, repeats=repeats)[0].collect()
+        assert len({(r.doc_id, r.repeat_no) for r in chosen}) == len(chosen) == len({(r.slot, r.place) for r in chosen})
+        picked = Counter((r.doc_id, r.repeat_no) for r in chosen)
+        base = base or picked
+        assert picked == base and max(n for _, n in picked) > 14_000
+        run, per, last = 0, Counter(), None
+        total = Counter()
+        for r in chosen:
+            total[r.source] += r.tokens
+        whole = sum(total.values())
+        for r in sorted(chosen, key=lambda r: (r.slot, r.place)):
+            if last is not None and r.slot != last:
+                assert all(abs(per[s] - total[s] / whole * run) <= 2 * 500 + 1000 for s in total)
+            run, last = run + r.tokens, r.slot
+            per[r.source] += r.tokens
 
 
 def test_empty_tables(spark):
