@@ -82,7 +82,9 @@ def parse_records(df: DataFrame, key: str, raw: str, names: list[str], check: Re
 
 
 class NotJson(ValueError):
-    pass
+    def __init__(self, what: str, pos: int = 0) -> None:
+        super().__init__(what)
+        self.pos = pos
 
 
 def _no_constant(name: str) -> None:
@@ -92,7 +94,7 @@ def _no_constant(name: str) -> None:
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))')
 
 
-def _load_deep(text: str) -> object:
+def load_deep(text: str) -> object:
     """One JSON value without recursion, for texts nested deeper than the interpreter's stack."""
     pos, stack, want, done, key = 0, [], "value", None, None
     text = text.rstrip(" \t\n\r")
@@ -112,7 +114,7 @@ def _load_deep(text: str) -> object:
     while pos < len(text):
         m = _TOKEN.match(text, pos)
         if m is None or want == "end":
-            raise NotJson(str(pos))
+            raise NotJson("not JSON", pos)
         pos = m.end()
         mark, string, number, literal = m.groups()
         if want in ("value", "value or end") and (string or number or literal or mark in ("[", "{")):
@@ -131,9 +133,9 @@ def _load_deep(text: str) -> object:
         elif stack and (want == "next" or want.endswith("or end")) and mark == ("}" if isinstance(stack[-1][0], dict) else "]"):
             want = put(stack.pop()[0])
         else:
-            raise NotJson(str(pos))
+            raise NotJson("not JSON", pos)
     if want != "end":
-        raise NotJson("ends early")
+        raise NotJson("ends early", len(text))
     return done
 
 
@@ -142,7 +144,7 @@ def load_json(text: str) -> object:
     try:
         return json.loads(text, parse_constant=_no_constant, parse_int=float)
     except RecursionError:
-        return _load_deep(text)
+        return load_deep(text)
 
 
 def _number(x: object) -> bool:
@@ -189,7 +191,7 @@ def parse_replies(df: DataFrame, key: str, raw: str) -> DataFrame:
     """(*key, reason, at, detail, label, answer, evidence, spans array<struct<start, end>>, reply_reason) of the JSON texts in ``raw``.
 
     ``bad_json``: the lexer fails (``at`` is the byte), the text ends inside a string (its length) or the grammar fails
-    (the parser's character); ``not_object``; ``bad_value``: label, answer or evidence_seconds (``detail``). Null gives a row without reason and values.
+    (the byte at which the parser stopped); ``not_object``; ``bad_value``: label, answer or evidence_seconds (``detail``). Null gives a row without reason and values.
     """
     auto = T.json_lexer()
 
@@ -216,7 +218,7 @@ def parse_replies(df: DataFrame, key: str, raw: str) -> DataFrame:
                             else:
                                 value = got
                         except ValueError as e:
-                            reason, at, detail = "bad_json", getattr(e, "pos", 0), "grammar"
+                            reason, at, detail = "bad_json", len(text[: getattr(e, "pos", 0)].encode()), "grammar"
                 out.append((reason, at, detail, value.get("label"), value.get("answer"), _clean(value.get("evidence")), _spans(value.get("evidence_seconds")) if value else None, _clean(value.get("reason"))))
             r = list(zip(*out))
             span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))

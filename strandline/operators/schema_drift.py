@@ -1,10 +1,10 @@
 """Schemas that drift between files: what each file changed against its predecessor, by similarity flooding.
 
 The fields of all files come from one pass over the lines; a file's predecessor comes from a global sort. Values are
-read again only for fields that vanished or appeared in the same step. For these the two schema graphs (paths, their
-names, JSON types and nesting) are matched: start scores from names, types and shared values are propagated along equal
-edges until they settle, and the best consistent one-to-one correspondences are taken. An exact check on the shared
-values follows. Graphs are as wide as a schema, not as long as a file, so matching one pair of files is a small task.
+read again only for fields that vanished or appeared in the same step. For such a step the two whole schema graphs
+(paths, their names, JSON types and nesting, the unchanged fields included) are matched: start scores from names, types
+and shared values are propagated along equal edges until they settle. The flooded scores decide the one-to-one
+correspondences, best first; an exact check on the shared values can only refuse a pair. Graphs are as wide as a schema, not as long as a file, so matching one pair of files is a small task.
 """
 
 from __future__ import annotations
@@ -12,13 +12,16 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.ordered_scan import range_sorted, rescan, summarise
-from strandline.session import cut
+from strandline.operators.parse_rows import load_deep
+from strandline.session import cut, stored
 
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 _SPLIT = re.compile(r"\s*[;,]\s*")
@@ -35,18 +38,59 @@ def json_type(v: object) -> str:
     return "array" if isinstance(v, list) else "string"
 
 
-def leaves(record: object, prefix: str = "") -> Iterator[tuple[str, object]]:
-    """(dotted path, value) of every value that is not an object; iterative, so that depth does not matter."""
-    todo = [(prefix, record)]
+def loads(text: str | None) -> object:
+    """One JSON value, however deep; None for null and for what is no JSON."""
+    try:
+        return json.loads(text) if text is not None else None
+    except ValueError:
+        return None
+    except RecursionError:
+        try:
+            return load_deep(text)
+        except ValueError:
+            return None
+
+
+def dumps(value: object) -> str:
+    """JSON text with sorted keys, however deep."""
+    try:
+        return json.dumps(value, sort_keys=True)
+    except RecursionError:
+        out, todo = [], [value]
+        while todo:
+            v = todo.pop()
+            if isinstance(v, _Mark):
+                out.append(v)
+            elif isinstance(v, dict):
+                parts = [p for i, k in enumerate(sorted(v)) for p in (_Mark((", " if i else "") + json.dumps(k) + ": "), v[k])]
+                todo += reversed([_Mark("{"), *parts, _Mark("}")])
+            elif isinstance(v, list):
+                parts = [p for i, x in enumerate(v) for p in ((_Mark(", "), x) if i else (x,))]
+                todo += reversed([_Mark("["), *parts, _Mark("]")])
+            else:
+                out.append(json.dumps(v))
+        return "".join(out)
+
+
+class _Mark(str):
+    """A piece of finished text."""
+
+
+def leaves(record: object) -> Iterator[tuple[str, object]]:
+    """(dotted path, value) of every value that is not an object; iterative, and paths are made for values only, so that depth does not matter."""
+    todo = [(None, record)]
     while todo:
         at, obj = todo.pop()
         if isinstance(obj, dict):
             for k, v in obj.items():
-                path = f"{at}.{k}" if at else k
                 if isinstance(v, dict):
-                    todo.append((path, v))
+                    todo.append(((at, k), v))
                 else:
-                    yield path, v
+                    steps, up = [k], at
+                    while up is not None:
+                        up, step = up
+                        steps.append(step)
+                    yield ".".join(reversed(steps)), v
 
 
 def _quantity(text: str) -> str | None:
@@ -71,9 +115,16 @@ def notation_free(v: object) -> str:
     if isinstance(v, (int, float)):
         return "#" + (_quantity(repr(v)) or repr(v))
     if isinstance(v, list):
-        return ";".join(notation_free(x) for x in v)
+        parts, todo = [], list(reversed(v))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, list) and x:
+                todo += reversed(x)
+            else:
+                parts.append("" if x == [] else notation_free(x))
+        return ";".join(parts)
     if isinstance(v, dict):
-        return json.dumps(v, sort_keys=True)
+        return dumps(v)
     text = str(v).strip()
     number = _quantity(text)
     if number is not None:
@@ -81,7 +132,7 @@ def notation_free(v: object) -> str:
     if text[:1] == "[" and text[-1:] == "]":
         try:
             return notation_free(json.loads(text))
-        except ValueError:
+        except (ValueError, RecursionError):
             pass
     if ";" in text or "," in text:
         parts = [_quantity(p) for p in _SPLIT.split(text)]
@@ -98,10 +149,7 @@ def _fields(lines: DataFrame) -> DataFrame:
             seen = set()
             for file_id, stream, written, text in zip(*(c.to_pylist() for c in batch.columns)):
                 seen.add((file_id, stream, written, None, None))
-                try:
-                    record = json.loads(text) if text is not None else None
-                except ValueError:
-                    continue
+                record = loads(text)
                 seen.update((file_id, stream, written, path, json_type(v)) for path, v in leaves(record))
             cols = list(zip(*seen)) or [()] * 5
             kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
@@ -145,10 +193,7 @@ def _values(lines: DataFrame, needs: DataFrame) -> DataFrame:
         for batch in batches:
             seen = set()
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    record = json.loads(text) if text is not None else None
-                except ValueError:
-                    continue
+                record = loads(text)
                 got: dict[str, list[str]] = {}
                 for path, v in leaves(record):
                     if v is not None:
@@ -175,75 +220,87 @@ def name_similarity(a: str, b: str) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
-def _graph(fields: list[dict]) -> set[tuple]:
+def _graph(fields: tuple[tuple[str, tuple[str, ...]], ...]) -> set[tuple]:
     """Labelled edges of a schema: root and objects to their members, leaves to their types."""
     edges = set()
-    for f in fields:
+    for path, types in fields:
         parent = ("o", "")
-        steps = f["path"].split(".")
+        steps = path.split(".")
         for depth in range(1, len(steps)):
             child = ("o", ".".join(steps[:depth]))
             edges.add((parent, "has", child))
             parent = child
-        leaf = ("f", f["path"])
+        leaf = ("f", path)
         edges.add((parent, "has", leaf))
-        edges.update((leaf, "type", ("t", t)) for t in f["types"])
+        edges.update((leaf, "type", ("t", t)) for t in types)
     return edges
 
 
-def flood(old: list[dict], new: list[dict], shared: dict[tuple[str, str], float], rounds: int = 60, settled: float = 1e-3) -> dict[tuple[str, str], float]:
-    """Scores of (old path, new path) when propagation has settled. Fields are {path, types}; ``shared`` is the share of common values."""
-    left, right = _graph(old), _graph(new)
-    out: dict[tuple, list[tuple]] = {}
-    for a, label, b in left:
-        for x, other, y in right:
-            if label == other and b[0] == y[0]:
-                out.setdefault(((a, x), label), []).append((b, y))
-    into: dict[tuple, list[tuple]] = {}
-    for ((a, x), label), ends in out.items():
-        for b, y in ends:
-            into.setdefault((b, y), []).append(((a, x), 1 / len(ends)))
-    back: dict[tuple, dict[str, list]] = {}
-    for ((a, x), label), ends in out.items():
-        for end in ends:
-            back.setdefault(end, {}).setdefault(label, []).append((a, x))
-    for end, labels in back.items():
-        for starts in labels.values():
-            for start in starts:
-                into.setdefault(start, []).append((end, 1 / len(starts)))
-    types_old, types_new = ({f["path"]: set(f["types"]) for f in side} for side in (old, new))
+@lru_cache(maxsize=512)
+def _propagation(old: tuple, new: tuple) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, start scores without values, from, to, weights) of the pairwise connectivity graph of two schemas. The
+    weight of a pair is spread evenly over its neighbours along edges of one label, in either direction."""
+    ends: dict[tuple, list[tuple]] = {}
+    starts: dict[tuple, list[tuple]] = {}
+    right: dict[tuple, list[tuple]] = {}
+    for x, label, y in _graph(new):
+        right.setdefault((label, x[0], y[0]), []).append((x, y))
+    for a, label, b in _graph(old):
+        for x, y in right.get((label, a[0], b[0]), ()):
+            ends.setdefault(((a, x), label), []).append((b, y))
+            starts.setdefault(((b, y), label), []).append((a, x))
+    number: dict[tuple, int] = {}
+    edges = []
+    for side in (ends, starts):
+        for (pair, _), others in side.items():
+            at = number.setdefault(pair, len(number))
+            edges += [(at, number.setdefault(o, len(number)), 1 / len(others)) for o in others]
+    types_old, types_new = ({p: set(t) for p, t in side} for side in (old, new))
+    same = types_old.keys() & types_new.keys()
 
     def first(pair: tuple) -> float:
         (kind, a), (_, b) = pair
         if kind == "t":
             return 1.0 if a == b else 0.2
+        if kind == "f" and (a in same or b in same):  # a field that stayed is itself
+            return float(a == b)
         name = name_similarity(a.rpartition(".")[2], b.rpartition(".")[2]) if a or b else 1.0
-        if kind == "o":
-            return name
-        both = types_old[a] & types_new[b]
-        return 0.6 * shared.get((a, b), 0.0) + 0.3 * name + 0.1 * bool(both)
+        return name if kind == "o" else 0.3 * name + 0.1 * bool(types_old[a] & types_new[b])
 
-    start = {pair: first(pair) for pair in into}
-    score = dict(start)
+    pairs = list(number)
+    cols = list(zip(*edges)) or [(), (), ()]
+    return pairs, np.array([first(p) for p in pairs]), np.array(cols[0], dtype=np.int64), np.array(cols[1], dtype=np.int64), np.array(cols[2], dtype=float)
+
+
+def flood(old: list[dict], new: list[dict], shared: dict[tuple[str, str], float], rounds: int = 60, settled: float = 1e-3) -> dict[tuple[str, str], float]:
+    """Scores of (old path, new path) when propagation has settled. Fields are {path, types}; ``shared`` is the share of common values."""
+    key = [tuple(sorted((f["path"], tuple(sorted(f["types"]))) for f in side)) for side in (old, new)]
+    pairs, start, source, target, weight = _propagation(*key)
+    if not pairs:
+        return {}
+    start = start + 0.6 * np.array([shared.get((a[1], b[1]), 0.0) if a[0] == "f" else 0.0 for a, b in pairs])
+    score = start
     for _ in range(rounds):
-        raised = {p: start[p] + score[p] + sum(w * (start[q] + score[q]) for q, w in ends) for p, ends in into.items()}
-        top = max(raised.values(), default=1.0) or 1.0
-        raised = {p: v / top for p, v in raised.items()}
-        moved = max((abs(raised[p] - score[p]) for p in raised), default=0.0)
+        both = start + score
+        raised = both + np.bincount(target, weights=weight * both[source], minlength=len(pairs))
+        raised = raised / (raised.max() or 1.0)
+        moved = np.abs(raised - score).max()
         score = raised
         if moved < settled:
             break
-    return {(a[1], b[1]): v for (a, b), v in score.items() if a[0] == "f"}
+    return {(a[1], b[1]): float(v) for (a, b), v in zip(pairs, score) if a[0] == "f"}
 
 
 def correspondences(old: list[dict], new: list[dict], common: dict[tuple[str, str], int], size_old: dict[str, int], size_new: dict[str, int], least: float) -> dict[str, str]:
-    """{new path: old path}, one to one, best flooded score first; only pairs that share more than ``least`` of the fewer values."""
+    """{new path: old path}, one to one among the fields that only one side has, best flooded score first; a pair must
+    share more than ``least`` of the fewer values. ``old`` and ``new`` are whole schemas."""
+    stayed = {f["path"] for f in old} & {f["path"] for f in new}
     fewer = {p: n / min(size_old[p[0]], size_new[p[1]]) for p, n in common.items()}
     scores = flood(old, new, fewer)
     match: dict[str, str] = {}
-    taken: set[str] = set()
-    for p in sorted(fewer, key=lambda p: (-scores.get(p, 0.0) - fewer[p], p)):
-        if fewer[p] > least and p[0] not in taken and p[1] not in match:
+    taken = set(stayed)
+    for p in sorted(fewer, key=lambda p: (-round(scores.get(p, 0.0), 9), -fewer[p], p)):
+        if fewer[p] > least and p[0] not in taken and p[1] not in match and p[1] not in stayed:
             match[p[1]] = p[0]
             taken.add(p[0])
     return match
@@ -266,21 +323,23 @@ def drift(lines: DataFrame, least: float = 1 / 3) -> DataFrame:
     sides = as_new.unionByName(as_old).groupBy("pair", "path").agg(
         F.first(F.when(F.col("is_new"), F.col("types")), True).alias("new_types"), F.first(F.when(~F.col("is_new"), F.col("types")), True).alias("old_types")
     )
-    sides = cut(sides.where("new_types IS NULL OR old_types IS NULL OR size(array_except(new_types, old_types)) > 0"))
-    retyped = sides.where("new_types IS NOT NULL AND old_types IS NOT NULL").select(F.col("pair").alias("file_id"), F.col("path").alias("field"), F.lit("type_changed").alias("change_kind"), F.lit(None).cast("string").alias("old_field"))
-
-    moved = sides.where("new_types IS NULL OR old_types IS NULL").withColumn("is_new", F.col("old_types").isNull())
-    steps = moved.groupBy("pair").agg(F.collect_list(F.struct("path", "is_new", F.coalesce("new_types", "old_types").alias("types"))).alias("fields"))  # as long as a schema is wide
-    both = F.exists("fields", lambda f: f["is_new"]) & F.exists("fields", lambda f: ~f["is_new"])
-    undecided = steps.where(both)
-    single = steps.where(~both).select("pair", F.explode("fields").alias("f")).select(
-        F.col("pair").alias("file_id"), F.col("f.path").alias("field"), F.when(F.col("f.is_new"), "added").otherwise("removed").alias("change_kind"), F.lit(None).cast("string").alias("old_field")
+    sides = stored(sides)
+    retyped = sides.where("new_types IS NOT NULL AND old_types IS NOT NULL AND size(array_except(new_types, old_types)) > 0").select(F.col("pair").alias("file_id"), F.col("path").alias("field"), F.lit("type_changed").alias("change_kind"), F.lit(None).cast("string").alias("old_field"))
+
+    gone, come = F.col("new_types").isNull(), F.col("old_types").isNull()
+    both = sides.where(gone | come).groupBy("pair").agg(F.max(gone).alias("gone"), F.max(come).alias("come"))
+    steps = stored(sides.join(both, "pair"))  # of files that lost or gained a field, with the fields that stayed
+    single = steps.where(~(F.col("gone") & F.col("come")) & (gone | come)).select(
+        F.col("pair").alias("file_id"), F.col("path").alias("field"), F.when(come, "added").otherwise("removed").alias("change_kind"), F.lit(None).cast("string").alias("old_field")
     )
-
-    asked = undecided.join(links.withColumnRenamed("file_id", "pair"), "pair").select("pair", "prev_id", F.explode("fields").alias("f"))
-    needs = asked.select(F.when(F.col("f.is_new"), F.col("pair")).otherwise(F.col("prev_id")).alias("file_id"), F.struct("pair", F.col("f.is_new").alias("is_new"), F.col("f.path").alias("path")).alias("w"))
-    needs = needs.groupBy("file_id").agg(F.collect_list("w").alias("wanted"))
-    values = cut(_values(slim, needs))
+    open_ = steps.where("gone AND come")
+    undecided = open_.groupBy("pair").agg(F.collect_list(F.struct("path", "old_types", "new_types")).alias("fields"))  # as long as a schema is wide
+    moved = open_.where(gone | come).select("pair", "path", come.alias("is_new"))
+
+    asked = moved.join(links.withColumnRenamed("file_id", "pair"), "pair")
+    needs = asked.select(F.when(F.col("is_new"), F.col("pair")).otherwise(F.col("prev_id")).alias("file_id"), F.struct("pair", "is_new", "path").alias("w"))
+    needs = stored(needs.groupBy("file_id").agg(F.collect_list("w").alias("wanted")))  # a row per file; of known size, so that a small one spares the lines a shuffle
+    values = stored(_values(slim, needs))
     sizes = values.groupBy("pair", "is_new", "path").agg(F.count(F.lit(1)).alias("n"))
     new, old = values.where("is_new").select("pair", "value", F.col("path").alias("new_path")), values.where("NOT is_new").select("pair", "value", F.col("path").alias("old_path"))
     common = new.join(old, ["pair", "value"]).groupBy("pair", "old_path", "new_path").agg(F.count(F.lit(1)).alias("n"))
@@ -292,17 +351,19 @@ def drift(lines: DataFrame, least: float = 1 / 3) -> DataFrame:
         for batch in batches:
             out = []
             for pair, fs, ns, cs in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                was, now = [f for f in fs if not f["is_new"]], [f for f in fs if f["is_new"]]
+                old = [{"path": f["path"], "types": f["old_types"]} for f in fs if f["old_types"] is not None]
+                new = [{"path": f["path"], "types": f["new_types"]} for f in fs if f["new_types"] is not None]
+                was, now = [f["path"] for f in fs if f["new_types"] is None], [f for f in new if all(f["path"] != o["path"] for o in old)]
                 size = [{s["path"]: s["n"] for s in ns or () if s["is_new"] == side} for side in (False, True)]
-                match = correspondences(was, now, {(c["old_path"], c["new_path"]): c["n"] for c in cs or ()}, size[0], size[1], least)
-                types = {f["path"]: set(f["types"]) for f in was}
+                match = correspondences(old, new, {(c["old_path"], c["new_path"]): c["n"] for c in cs or ()}, size[0], size[1], least)
+                types = {f["path"]: set(f["types"]) for f in old}
                 for f in now:
                     former = match.get(f["path"])
                     out.append((pair, f["path"], "renamed" if former is not None else "added", former))
                     if former is not None and set(f["types"]) - types[former]:
                         out.append((pair, f["path"], "type_changed", former))
                 gone = set(match.values())
-                out.extend((pair, f["path"], "removed", None) for f in was if f["path"] not in gone)
+                out.extend((pair, path, "removed", None) for path in was if path not in gone)
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["file_id", "field", "change_kind", "old_field"])
 
@@ -339,7 +400,7 @@ def cast_value(v: object, kind: str) -> object:
         return float(text[1:]) if not isinstance(v, bool) and text[:1] == "#" and ";" not in text else None
     if isinstance(v, bool):
         return "true" if v else "false"
-    return v if isinstance(v, str) else json.dumps(v)
+    return v if isinstance(v, str) else dumps(v)
 
 
 def canonical_target(names: list[str], types: list[str], targets: dict[str, str], least: float = 0.5) -> str | None:
@@ -418,10 +479,7 @@ def unify(lines: DataFrame, targets: dict[str, str] | None = None) -> DataFrame:
             out: dict[str, list] = {t: [] for t in targets}
             extra: list[str | None] = []
             for text, fields in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
-                try:
-                    record = json.loads(text) if text is not None else None
-                except ValueError:
-                    record = None
+                record = loads(text)
                 got, rest = dict.fromkeys(targets), {}
                 to = {f["path"]: f["target"] for f in fields or ()}
                 for path, v in sorted(leaves(record), key=lambda x: x[0]):
@@ -434,7 +492,7 @@ def unify(lines: DataFrame, targets: dict[str, str] | None = None) -> DataFrame:
                 for t in targets:
                     v = got[t]
                     out[t].append(v.encode("utf-8", "replace").decode() if isinstance(v, str) else v)
-                extra.append(json.dumps(rest, sort_keys=True) if rest else None)
+                extra.append(dumps(rest) if rest else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(out[t], arrow[k]) for t, k in targets.items()), pa.array(extra, pa.string())], names=["row_id", "file_id", "stream_id", "line_no", *cols.values(), "extra"])
 
     rows = lines.select("row_id", "file_id", "stream_id", "line_no", "line_text").join(maps, "file_id", "left")

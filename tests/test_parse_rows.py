@@ -116,17 +116,17 @@ json_values = st.recursive(st.none() | st.booleans() | st.integers(-(10**9), 10*
 @settings(max_examples=150, deadline=None)
 @given(json_values, st.integers(0, 40), st.sampled_from(list('"\\{}[],:x1\n ')))
 def test_json_reader_agrees_with_the_parser_and_the_stackless_reader(value, at, mark):
-    from strandline.operators.parse_rows import NotJson, _load_deep
+    from strandline.operators.parse_rows import NotJson, load_deep
 
     for text in (json.dumps(value), json.dumps(value, ensure_ascii=False)[:at] + mark + json.dumps(value, ensure_ascii=False)[at:]):
         data, offsets = T.bytes_of(pa.array([text], pa.string()))
         lexed = T.run(T.json_lexer(), data, offsets, 5).state[0] == T.J_OUT
         try:
             want = load_json(text)
-            assert lexed and _load_deep(text) == want
+            assert lexed and load_deep(text) == want
         except ValueError:
             with pytest.raises((NotJson, ValueError)):
-                _load_deep(text)
+                load_deep(text)
 
 
 def test_duplicate_labels_take_the_last():

@@ -96,6 +96,25 @@ def test_unify_follows_names_through_a_stream(spark):
     assert [r.video_id for r in rows] == ["v"] * 15 + [None] and json.loads(rows[1].extra) == {"seed": 1}
 
 
+def test_very_deep_lines(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    nested = '{"a":' * 20_000 + "1" + "}" * 20_000
+    files = [("s", "1", 1, ['{"x": ' + deep + ', "y": 1}', nested]), ("s", "2", 2, ['{"z": ' + deep + ', "y": "1"}'])]
+    got = sorted((r.file_id, r.field, r.change_kind) for r in drift(frame(spark, files)).collect() if len(r.field) < 10)
+    assert got == [("2", "y", "type_changed"), ("2", "z", "renamed")]
+    rows = sorted(unify(frame(spark, files)).collect(), key=lambda r: r.row_id)
+    assert len(rows) == 3 and rows[0].extra == '{"x": ' + deep + ', "y": 1}'.replace("1", "1.0")
+
+
+def test_fields_that_stayed_are_context():
+    """Two new objects hold fields of one name; the sibling that stayed tells which is the old one."""
+    f = lambda path, *types: {"path": path, "types": list(types)}
+    old, new = [f("a.x", "number"), f("a.keep", "string"), f("q", "number")], [f("a.y", "number"), f("a.keep", "string"), f("b.y", "number"), f("q", "number")]
+    scores = flood(old, new, {("a.x", "a.y"): 1.0, ("a.x", "b.y"): 1.0})
+    assert scores["a.x", "a.y"] > scores["a.x", "b.y"] and scores["a.keep", "a.keep"] > 0.5
+    assert correspondences(old, new, {("a.x", "a.y"): 3, ("a.x", "b.y"): 3, ("q", "b.y"): 3}, {"a.x": 3, "q": 3}, {"a.y": 3, "b.y": 3}, 1 / 3) == {"a.y": "a.x"}
+
+
 def test_casts():
     assert cast_value("30%", "number") == 0.3 and cast_value([0.5], "number") == 0.5 and cast_value(True, "number") is None and cast_value("x", "number") is None
     assert cast_value("1.0;2", "numbers") == [1.0, 2.0] and cast_value("a;b", "numbers") is None and cast_value(["x"], "string") == "x" and cast_value(5, "string") == "5"
