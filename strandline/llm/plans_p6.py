@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from strandline.llm.packing import fill, pack
 from strandline.llm.tokens import RANKS, token_sizes
 from strandline.plans.registry import Registry
-from strandline.session import table
+from strandline.session import cut, table
 
 R = Registry()
 
 
 def packed(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
-    sizes = token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", ranks=ranks)
+    sizes = cut(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", ranks=ranks))  # the range sort reads them twice
     return pack(sizes, "doc_id", "tokens", table(spark, sf_dir, "pack_sizes"))
 
 
