@@ -65,5 +65,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, but as a written table: later reads take only the columns they need, and its size is known, so that
+    a join broadcasts it where it is below the session's threshold and shuffles it beyond."""
+    path = fresh_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
