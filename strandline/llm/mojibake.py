@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import cut
+from strandline.session import stored
 
 #: Wrong decoders of UTF-8 bytes, fixed values: names of codecs; "ansi" is Windows-1252 with the five unassigned bytes kept as control characters.
 UTF8_READ_AS = (
@@ -56,11 +56,13 @@ _OUTER = re.compile(r"^\W+|\W+$")
 CLAUSE_MARKS = "。，、：；！？（）"
 
 
+_ESCAPED = {0xDC00 + b: b for b in range(0x80, 0x100)}
+
+
 def _decode(data: bytes, codec: str, errors: str) -> str:
     if codec != "ansi":
         return data.decode(codec, errors)
-    out = data.decode("cp1252", "surrogateescape")
-    return "".join(chr(ord(c) - 0xDC00) if "\udc80" <= c <= "\udcff" else c for c in out)
+    return data.decode("cp1252", "surrogateescape").translate(_ESCAPED)
 
 
 def _encode(text: str, codec: str) -> bytes:
@@ -105,55 +107,149 @@ def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
     return out
 
 
+#: Decoders that lose other characters at the end of a text than before a line break.
+_WIDE = ("gb18030",)
+
+
+@lru_cache(maxsize=None)
+def _encodable(codec: str) -> frozenset[str]:
+    """The characters an encoding has, of the basic plane."""
+    out = []
+    for c in map(chr, range(0x80, 0x10000)):
+        try:
+            c.encode(codec)
+            out.append(c)
+        except UnicodeEncodeError:
+            pass
+    return frozenset(out)
+
+
+def held_forms(words: list[str], held: Callable[[str], bool]) -> tuple[list[tuple[int, str, str, bool]], set[int]]:
+    """([(index of the word, form, chain, lossless)], indexes of words that some chain loses characters of): what
+    :func:`garbled_forms` gives for each word, of the forms that ``held`` lets pass. A chain is run over all words at once."""
+    out: dict[tuple[int, str], tuple[str, bytes | None, str]] = {}
+    lossy: set[int] = set()
+
+    def take(at: list[int], forms: list[str], chain: str, data: Callable[[int], bytes | None], codec: str) -> None:
+        for i, form in zip(at, forms):
+            if LOST in form:
+                lossy.add(i)
+            if form and form != words[i] and held(form) and not form.isascii() and (i, form) not in out:
+                out[i, form] = (chain, data(i), codec)
+
+    def decoded(data: bytes, each: Callable[[int], bytes], at: list[int], codec: str, errors: str) -> list[str]:
+        forms = _decode(data, codec, errors).split("\n")
+        if codec in _WIDE:
+            if len(forms) != len(at):
+                return [_decode(each(i), codec, errors) for i in at]
+            if errors == "replace":
+                return [_decode(each(i), codec, errors) if LOST in f else f for i, f in zip(at, forms)]
+        return forms
+
+    everything = list(range(len(words)))
+    utf8 = "\n".join(words).encode("utf-8", "surrogatepass")
+    own = lambda i: words[i].encode("utf-8", "surrogatepass")
+    for codec in UTF8_READ_AS:
+        once = decoded(utf8, own, everything, codec, "replace")
+        take(everything, once, f"utf-8>{codec}", own, codec)
+        if codec in ("ansi", "latin-1", "mac_roman"):
+            again = lambda i, once=once: once[i].encode("utf-8")
+            take(everything, _decode("\n".join(once).encode("utf-8"), codec, "replace").split("\n"), f"utf-8>{codec}>utf-8>{codec}", again, codec)
+        lost = [i for i in everything if LOST in once[i]]
+        if lost:
+            take(lost, [_decode(own(i), codec, "ignore") for i in lost] if codec in _WIDE else _decode("\n".join(words[i] for i in lost).encode("utf-8", "surrogatepass"), codec, "ignore").split("\n"), f"utf-8>{codec} ignored", lambda i: None, codec)
+    take(everything, _CONTROLS.sub("", utf8.decode("latin-1")).split("\n"), "utf-8>latin-1 without controls", lambda i: None, "latin-1")
+    foreign = [{c for c in w if c > "\x7f"} for w in words]
+    for true, wrongs in LEGACY_READ_AS.items():
+        known = _encodable(true)
+        at = [i for i in everything if foreign[i] <= known] if true != "gb18030" else everything
+        if not at:
+            continue
+        mine = lambda i, true=true: words[i].encode(true)
+        try:
+            data = "\n".join(words[i] for i in at).encode(true)
+        except UnicodeEncodeError:  # lone surrogates
+            continue
+        for codec in wrongs:
+            take(at, decoded(data, mine, at, codec, "replace"), f"{true}>{codec}", mine, codec)
+
+    def lossless(form: str, data: bytes | None, codec: str) -> bool:
+        try:
+            return data is not None and LOST not in form and _encode(form, codec) == data
+        except UnicodeEncodeError:
+            return False
+
+    return [(i, form, chain, lossless(form, data, codec)) for (i, form), (chain, data, codec) in out.items()], lossy
+
+
 @lru_cache(maxsize=1)
-def _clause_split() -> re.Pattern:
-    """The clause marks, clean and along every chain."""
+def _clause_split() -> tuple[re.Pattern, re.Pattern]:
+    """The clause marks, clean and along every chain, and what they may begin with."""
     forms = set(CLAUSE_MARKS)
     for mark in CLAUSE_MARKS:
         forms.update(f for f in garbled_forms(mark) if len(f) > 1 and LOST not in f)
-    return re.compile("|".join(re.escape(f) for f in sorted(forms, key=lambda f: (-len(f), f))))
-
-
-def words(text: str) -> set[str]:
-    """The non-ASCII units of a text: white-space words without outer ASCII marks and without any outer marks, runs of non-ASCII characters that are
-    long enough to mean something or stand between no letters, what stands between numbers, and the clauses of all. U+FFFD is a unit of its own."""
+    first = "".join(sorted({f[0] for f in forms}))
+    return re.compile("|".join(re.escape(f) for f in sorted(forms, key=lambda f: (-len(f), f)))), re.compile(f"[{re.escape(first)}]")
+
+
+def _units(token: str) -> tuple[str, ...]:
+    """The units of a white-space token that is not ASCII, the token without outer ASCII marks first."""
+    split, begins = _clause_split()
+    core = token.strip(_EDGE)
+    out = [core, _OUTER.sub("", core)]
+    cuts = begins.search(core) is not None
+    if len(core) > 4:
+        out.extend(p for p in _DIGITS.split(core) if len(p) > 2)
+    if len(core) > 8 and cuts:
+        out.extend(p.strip(_EDGE) for p in split.split(core))
+    for m in _RUN.finditer(token):
+        run, a, b = m.group(), m.start(), m.end()
+        open_ = (a == 0 or not token[a - 1].isalpha()) and (b == len(token) or not token[b].isalpha())
+        if len(run) >= 3 or open_:
+            out.append(run)
+        if len(run) > 4 and cuts:
+            out.extend(p for p in split.split(run) if len(p) > 1)
+    return (core, *{w for w in out if w and not w.isascii()})
+
+
+def words(text: str, known: dict[str, tuple[str, ...]] | None = None) -> tuple[set[str], set[str]]:
+    """(units, white-space words) of a text, none ASCII: white-space words without outer ASCII marks and without any outer marks, runs of
+    non-ASCII characters that are long enough to mean something or stand between no letters, what stands between numbers, and the clauses of
+    all. U+FFFD is a unit of its own. ``known`` keeps the units of short tokens, which come again and again."""
     out: set[str] = set()
-    split = _clause_split()
-    for token in _GAP.split(text):
+    cores: set[str] = set()
+    known = {} if known is None else known
+    for token in set(_GAP.split(text)):
         if token.isascii():
             continue
-        core = token.strip(_EDGE)
-        out.update((core, _OUTER.sub("", core)))
-        if len(core) > 4:
-            out.update(p for p in _DIGITS.split(core) if len(p) > 2)
-        if len(core) > 8:
-            out.update(p.strip(_EDGE) for p in split.split(core))
-        for m in _RUN.finditer(token):
-            run, a, b = m.group(), m.start(), m.end()
-            open_ = (a == 0 or not token[a - 1].isalpha()) and (b == len(token) or not token[b].isalpha())
-            if len(run) >= 3 or open_:
-                out.add(run)
-            if len(run) > 4:
-                out.update(p for p in split.split(run) if len(p) > 1)
+        units = known.get(token)
+        if units is None:
+            units = _units(token)
+            if len(token) <= 40:
+                if len(known) >= 200_000:
+                    known.clear()
+                known[token] = units
+        cores.add(units[0])
+        out.update(units[1:])
     if LOST in text:
         out.add(LOST)
-    return {w for w in out if w and not w.isascii()}
+    return out, cores
 
 
 def document_words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(*key, word, source, whole) distinct within a document; null texts have none. ``source`` is equal for equal texts;
+    """(*key, word, source, whole) distinct within a row; null texts have none. ``source`` is equal for equal texts;
     ``whole`` marks the white-space words, of which no two overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, ...]] = {}
         for batch in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
             rows, found, whole = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if t and not t.isascii():
-                    mine = words(t)
+                    mine, cores = words(t, known)
                     rows.extend([i] * len(mine))
                     found.extend(mine)
-                    cores = {token.strip(_EDGE) for token in _GAP.split(t)}
-                    whole.extend(w in cores for w in mine)
+                    whole.extend([w in cores for w in mine])
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(found, pa.string()), batch.column(2).take(at), pa.array(whole, pa.bool_())], names=["key", "word", "source", "whole"])
 
@@ -179,8 +275,8 @@ SYMBOL = r"[^\p{L}\p{M}\p{N}\x00-\x7f]|\p{Ll}\p{Lu}"
 EVIDENCE, EVIDENCE_LENGTH = 2, 3
 #: What clean words do not look like: a symbol between letters, a capital after a small letter, two scripts, four accented Latin letters in a row.
 ODD = r"\p{L}[^\p{L}\p{M}\p{N}\x00-\x7f’‘ʼ·‐‑–—…]\p{L}|\p{Ll}\p{Lu}|\p{IsLatin}[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}]\p{IsLatin}|[\x{c0}-\x{24f}]{4}"
-#: The bit set over the vocabulary has 2**BITS bits.
-BITS = 24
+#: Bits of the set over the vocabulary for each word, and at most (2**31: 256 MB). Beyond, more forms pass that no document holds; the join drops them.
+BITS_PER_WORD, MOST_BITS = 16, 31
 WITHOUT = "utf-8>latin-1 without controls"
 
 
@@ -189,51 +285,58 @@ def _plain(word: str) -> bool:
     return not any(c == LOST or "\x80" <= c <= "\x9f" or "\ue000" <= c <= "\uf8ff" for c in word)
 
 
-def _bit(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (2**BITS - 1)
+def word_bits(vocabulary: DataFrame) -> tuple[int, np.ndarray]:
+    """(log2 of the number of bits, the set): one bit per hash of a word. A clear bit says that no document holds a word.
 
-
-def word_bits(vocabulary: DataFrame) -> np.ndarray:
-    """One bit per hash of a word: 2 MB whatever the vocabulary's size. A clear bit says that no document holds a word."""
+    Sized by the vocabulary up to ``MOST_BITS``. Words are or-ed together on the executors, first to 64 bits, then to blocks of 64 KB;
+    only the finished blocks are collected.
+    """
+    n = vocabulary.count()
+    size = min(max(n * BITS_PER_WORD, 1 << 16).bit_length(), MOST_BITS)
+    at = F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit((1 << size) - 1))
+    longs = vocabulary.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b"))
+    blocks = longs.groupBy(F.shiftright("i", 13).alias("block")).agg(F.collect_list(F.struct("i", "b")).alias("l"))  # at most 8,192 each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(2 ** (BITS - 3), dtype=np.uint8)
         for batch in batches:
-            at = np.array([_bit(w) for w in batch.column(0).to_pylist()], dtype=np.int64)
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+            out = []
+            for items in batch.column(1):
+                block = np.zeros(1 << 13, dtype=np.int64)
+                values = items.values
+                block[values.field(0).to_numpy(zero_copy_only=False) & 8191] = values.field(1).to_numpy(zero_copy_only=False)
+                out.append(block.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "bits"])
 
-    out = np.zeros(2 ** (BITS - 3), dtype=np.uint8)
-    for row in vocabulary.select("word").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row.bits, dtype=np.uint8)
-    return out
+    bits = np.zeros(1 << (size - 3), dtype=np.uint8)
+    for row in blocks.mapInArrow(run, "block bigint, bits binary").toLocalIterator():
+        part = np.frombuffer(row.bits, dtype=np.uint8)
+        low = row.block << 16
+        bits[low : low + len(part)] |= part[: len(bits) - low]
+    return size, bits
 
 
 def garbled_table(vocabulary: DataFrame) -> DataFrame:
     """(garbled, original, chain, lossless, n_original) of every clean word along every chain, without forms that no
     document holds for sure. U+FFFD stands for the characters that any of them loses."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast(word_bits(vocabulary))
+    size, made = word_bits(vocabulary)
+    shared = vocabulary.sparkSession.sparkContext.broadcast(made.tobytes())
+    mask = (1 << size) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value.tobytes()
+        bits = shared.value
 
         def held(form: str) -> bool:
-            at = _bit(form)
+            at = zlib.crc32(form.encode("utf-8", "surrogatepass")) & mask
             return bits[at >> 3] >> (at & 7) & 1 == 1
 
         kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
         for whole in batches:
             for low in range(0, whole.num_rows, 2000):
                 batch = whole.slice(low, 2000)
-                out, lost = [], False
-                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if _plain(word):
-                        for form, (chain, lossless) in garbled_forms(word).items():
-                            if held(form):
-                                out.append((form, word, chain, lossless, n))
-                            if LOST in form and not lost:
-                                lost = True
-                                out.append((LOST, word, chain, False, n))
+                pairs = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _plain(w)]
+                found, lossy = held_forms([w for w, _ in pairs], held)
+                out = [(form, pairs[i][0], chain, lossless, pairs[i][1]) for i, form, chain, lossless in found]
+                out += [(LOST, pairs[i][0], "lost", False, pairs[i][1]) for i in sorted(lossy)[:1]]
                 cols = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["garbled", "original", "chain", "lossless", "n_original"])
 
@@ -264,9 +367,11 @@ def character_forms(characters: set[str]) -> dict[str, dict[str, str]]:
     return out
 
 
-def cut_run(run: str, forms: dict[str, dict[str, str]], longest: dict[str, int]) -> tuple[str, str] | None:
+def cut_run(run: str, forms: dict[str, dict[str, str]], longest: dict[str, int], begins: dict[str, set[str]]) -> tuple[str, str] | None:
     """(original, chain) of a run that falls into garbled characters of one chain without rest, longest form first."""
     for chain, known in forms.items():
+        if run[:1] not in begins[chain]:
+            continue
         at, out, top = 0, [], longest[chain]
         while at < len(run):
             for size in range(min(top, len(run) - at), 0, -1):
@@ -283,6 +388,21 @@ def cut_run(run: str, forms: dict[str, dict[str, str]], longest: dict[str, int])
     return None
 
 
+def garbles_to(original: str, chain: str, word: str) -> bool:
+    """Whether the chain makes exactly ``word`` of ``original``, and the way back gives the original again."""
+    steps = chain.split(">")
+    text = original
+    try:
+        for true, wrong in zip(steps[::2], steps[1::2]):
+            text = _decode(text.encode(true), wrong, "strict")
+        back = text
+        for true, wrong in reversed(list(zip(steps[::2], steps[1::2]))):
+            back = _encode(back, wrong).decode(true)
+    except (UnicodeError, LookupError):
+        return False
+    return text == word and back == original
+
+
 def evident(mine: DataFrame, found: DataFrame) -> DataFrame:
     """(source, word, original, chain, lossless): the legacy forms of texts in which several whole words are forms of known
     words along one chain.
@@ -292,7 +412,7 @@ def evident(mine: DataFrame, found: DataFrame) -> DataFrame:
     """
     by = F.regexp_replace("chain", ">latin-1$", ">ansi")  # they differ in control characters only
     forms = found.where(~F.col("chain").startswith("utf-8") & (F.col("garbled") != LOST)).withColumn("by", by).withColumnRenamed("garbled", "word")
-    own = cut(mine.select("source", "word", "whole").distinct().join(forms, "word"))
+    own = stored(mine.select("source", "word", "whole").distinct().join(forms, "word"))
     odd = lambda c: F.sum(F.col(c).rlike(ODD).cast("int"))
     texts = own.where(F.col("whole") & (F.length("word") >= EVIDENCE_LENGTH)).groupBy("source", "by").agg(
         F.countDistinct("word").alias("k"), (odd("word") - odd("original")).alias("odder"), F.sum(F.col("n_original") - F.col("n")).alias("rarer")
@@ -330,7 +450,7 @@ def garbled_words(vocabulary: DataFrame, found: DataFrame, shown: DataFrame, sho
     counted = found.where((direct & (F.length("garbled") >= 2)) | long_cut | rare | (F.col("garbled") == LOST))
     most = shown.groupBy("word", "original").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).where("2 * k >= n").select(F.col("word").alias("garbled"), "original")
     promoted = found.join(most, ["garbled", "original"], "left_semi").withColumn("lossless", F.col("lossless") & (F.length("garbled") >= EVIDENCE_LENGTH))
-    hits = cut(counted.unionByName(short).unionByName(promoted).distinct())
+    hits = stored(counted.unionByName(short).unionByName(promoted).distinct())
     known = hits.select(F.col("garbled").alias("original"), F.lit(1).alias("bad")).distinct()
     order = F.struct(F.when(F.col("bad").isNull(), 1).otherwise(0), F.col("lossless").cast("int"), "n_original", "original", "chain", "lossless")
     best = hits.join(known, "original", "left").groupBy(F.col("garbled").alias("word")).agg(F.max(order).alias("b")).select("word", "b.original", "b.chain", "b.lossless")
@@ -342,12 +462,13 @@ def garbled_words(vocabulary: DataFrame, found: DataFrame, shown: DataFrame, sho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = {c: max(map(len, k), default=0) for c, k in forms.value.items()}
+        begins = {c: {f[0] for f in k} for c, k in forms.value.items()}
         for batch in batches:
             out = []
             for word in batch.column(0).to_pylist():
-                got = cut_run(word, forms.value, longest)
+                got = cut_run(word, forms.value, longest, begins)
                 if got is not None:
-                    out.append((word, got[0], got[1], LOST not in word and got[1] != WITHOUT))
+                    out.append((word, got[0], got[1], garbles_to(got[0], got[1], word)))
             cols = list(zip(*out)) or [()] * 4
             kinds = [pa.string(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "original", "chain", "lossless"])
@@ -361,11 +482,11 @@ def find_garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Null, empty and ASCII texts have none. Repeated keys are one document; other columns are ignored.
     """
-    mine = cut(document_words(docs, key, text).distinct())
-    vocabulary = cut(mine.select("word", "source").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    found = cut(garbled_table(vocabulary).join(vocabulary.select(F.col("word").alias("garbled"), "n"), "garbled"))
-    shown = cut(evident(mine, found))
-    bad = cut(garbled_words(vocabulary, found, shown, short_forms(mine, found)))
+    mine = stored(document_words(docs, key, text))
+    vocabulary = stored(mine.select("word", "source").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    found = stored(garbled_table(vocabulary).join(vocabulary.select(F.col("word").alias("garbled"), "n"), "garbled"))
+    shown = stored(evident(mine, found))
+    bad = stored(garbled_words(vocabulary, found, shown, short_forms(mine, found)))
     # short forms, and words that are clean in most other texts, follow their own text
     here = shown.join(bad.where(F.length("word") >= EVIDENCE_LENGTH), "word", "left_anti").drop("n").withColumn("own", F.lit(1))
     every = mine.select("key", "word").join(bad.withColumn("own", F.lit(0)), "word").unionByName(mine.select("key", "word", "source").join(here, ["source", "word"]).drop("source"))
