@@ -20,9 +20,9 @@ def video_key(c: Column | str) -> Column:
 def qid_key(c: Column | str) -> Column:
     """As :func:`video_key`; a whole number (``012``, ``12.0``) in plain digits, any other text as it is."""
     t = F.btrim(as_column(c).cast("string"), F.lit(" \t"))
-    digits = F.regexp_extract(t, WHOLE, 2)
-    minus = (F.regexp_extract(t, WHOLE, 1) == "-") & (digits != "0")
-    return F.when(digits == "", t).otherwise(F.concat(F.when(minus, "-").otherwise(""), digits))
+    whole = F.regexp_replace(F.regexp_replace(t, WHOLE, "$1$2"), r"^(?:\+|-(?=0$))", "")
+    # most qids are plain digits already, which a cast tells without a pattern
+    return F.when(t.try_cast("bigint").cast("string") == t, t).when(t.rlike(WHOLE), whole).otherwise(t)
 
 
 def alpha_key(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.keys import QID_SQL, VIDEO_SQL, qid_key, video_key
-from strandline.operators.intervals import merge_spans, span_ms
+from strandline.operators.intervals import cut_ms, known_ms, merge_spans, milliseconds
 from strandline.plans.registry import Registry
 from strandline.session import table
 
@@ -16,22 +16,24 @@ KEYS = ["src_table", "video_id", "qid"]
 
 
 def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src_table, video_id, qid, start_ms, end_ms) of both tables, normalised; one row per usable span."""
+    """(src_table, video_id, qid, start_ms, end_ms) of both tables, normalised; one row per pair of endpoints, also of those that leave no length."""
+    ends = F.arrays_zip(F.col("evidence_intervals.start").alias("a"), F.col("evidence_intervals.end").alias("b"))  # only the endpoints are read
     cg = (
         table(spark, sf_dir, "cgbench_filtered")
-        .select(video_key("video_id").alias("video_id"), qid_key("qid").alias("qid"), "video_duration", "evidence_intervals")  # keys once per row
-        .select("video_id", "qid", "video_duration", F.explode("evidence_intervals").alias("iv"))
-        .select(F.lit("cgbench_filtered").alias("src_table"), "video_id", "qid", span_ms(F.col("iv.start"), F.col("iv.end"), F.col("video_duration")).alias("span"))
+        .select(video_key("video_id").alias("video_id"), qid_key("qid").alias("qid"), known_ms(F.col("video_duration")).alias("top"), ends.alias("p"))
+        .select(F.lit("cgbench_filtered").alias("src_table"), "video_id", "qid", "top", F.explode("p").alias("p"))
+        .select("src_table", "video_id", "qid", "top", "p.a", "p.b")
     )
     gsub = (
         table(spark, sf_dir, "gsub_test")
-        .select(video_key("video_id").alias("video_id"), "duration", "location")
-        .select("video_id", "duration", F.explode("location").alias("qid", "pairs"))
-        .select("video_id", qid_key("qid").alias("qid"), "duration", "pairs")
-        .select("video_id", "qid", "duration", F.explode("pairs").alias("pair"))
-        .select(F.lit("gsub_test").alias("src_table"), "video_id", "qid", span_ms(F.get("pair", F.lit(0)), F.get("pair", F.lit(1)), F.col("duration")).alias("span"))
+        .select(video_key("video_id").alias("video_id"), known_ms(F.col("duration")).alias("top"), F.explode("location").alias("qid", "pairs"))
+        .select(F.lit("gsub_test").alias("src_table"), "video_id", qid_key("qid").alias("qid"), "top", "pairs")
+        .select("src_table", "video_id", "qid", "top", F.explode("pairs").alias("p"))
+        .select("src_table", "video_id", "qid", "top", F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(1)).alias("b"))
     )
-    return cg.unionByName(gsub).where("span IS NOT NULL").select(*KEYS, "span.start_ms", "span.end_ms")
+    both = cg.unionByName(gsub).where("a IS NOT NULL AND b IS NOT NULL AND NOT isnan(a) AND NOT isnan(b)")
+    spans = both.select(*KEYS, "top", milliseconds(F.col("a")).alias("a"), milliseconds(F.col("b")).alias("b")).select(*KEYS, cut_ms(F.col("a"), F.col("b"), F.col("top")).alias("span"))
+    return spans.select(*KEYS, "span.start_ms", "span.end_ms")
 
 
 SPANS_SQL = f"""

@@ -52,6 +52,12 @@ def test_merge_one_island_over_all_partitions(spark):
     assert [tuple(r) for r in got] == [("a", "1", "period", 0, 5001, 5001)]
 
 
+def test_many_copies_of_one_span_count_once(spark):
+    rows = [("a", "1", 5, 9)] * 4000 + [("a", "1", 9, 12)] * 3 + [("a", "1", 20, 21)] * 2000 + [("b", "1", 5, 9)] * 2
+    got = merge_spans(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(9), ["e", "q"], "s", "t").collect()
+    assert sorted(tuple(r) for r in got) == [("a", "1", "gap", 12, 20, 0), ("a", "1", "period", 5, 12, 2), ("a", "1", "period", 20, 21, 1), ("b", "1", "period", 5, 9, 1)]
+
+
 def test_merge_of_an_empty_table(spark):
     assert merge_spans(spark.createDataFrame([], SCHEMA), ["e", "q"], "s", "t").collect() == []
 
