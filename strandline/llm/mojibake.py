@@ -411,11 +411,16 @@ def evident(mine: DataFrame, found: DataFrame) -> DataFrame:
     restored form: more of its words are odd or, at a tie, its words stand in fewer texts than their originals.
     """
     by = F.regexp_replace("chain", ">latin-1$", ">ansi")  # they differ in control characters only
-    forms = found.where(~F.col("chain").startswith("utf-8") & (F.col("garbled") != LOST)).withColumn("by", by).withColumnRenamed("garbled", "word")
-    own = stored(mine.select("source", "word", "whole").distinct().join(forms, "word"))
-    odd = lambda c: F.sum(F.col(c).rlike(ODD).cast("int"))
+    odd = F.col("word").rlike(ODD).cast("int") - F.col("original").rlike(ODD).cast("int")
+    forms = found.where(~F.col("chain").startswith("utf-8") & (F.col("garbled") != LOST)).withColumnRenamed("garbled", "word")
+    forms = stored(forms.withColumns({"by": by, "odder": odd, "rarer": F.col("n_original") - F.col("n")}))
+    # what a text shows needs a word that speaks for it; clean texts, whose words are forms of garbled ones, have none
+    speaks = forms.where((F.length("word") >= EVIDENCE_LENGTH) & ((F.col("odder") > 0) | (F.col("odder") == 0) & (F.col("rarer") > 0)))
+    asked = stored(mine.where("whole").select("source", "word").join(speaks.select("word", "by").distinct(), "word").select("source", "by").distinct())
+    own = mine.select("source", "word", "whole").join(asked.select("source").distinct(), "source", "left_semi").distinct()
+    own = stored(own.join(forms, "word").join(asked, ["source", "by"], "left_semi"))
     texts = own.where(F.col("whole") & (F.length("word") >= EVIDENCE_LENGTH)).groupBy("source", "by").agg(
-        F.countDistinct("word").alias("k"), (odd("word") - odd("original")).alias("odder"), F.sum(F.col("n_original") - F.col("n")).alias("rarer")
+        F.countDistinct("word").alias("k"), F.sum("odder").alias("odder"), F.sum("rarer").alias("rarer")
     )
     sure = texts.where((F.col("k") >= EVIDENCE) & ((F.col("odder") > 0) | (F.col("odder") == 0) & (F.col("rarer") > 0))).select("source", "by")
     best = F.max(F.struct(F.col("lossless").cast("int"), "n_original", "original", "chain", "lossless")).alias("b")
@@ -430,7 +435,8 @@ def short_forms(mine: DataFrame, found: DataFrame) -> DataFrame:
     letters = short.where(~F.col("garbled").rlike(SYMBOL))
     own = mine.select("source", "word")
     held = own.join(letters.select(F.col("garbled").alias("word"), "original").distinct(), "word").distinct()
-    both = held.join(own.withColumnRenamed("word", "original"), ["source", "original"], "left_semi").select(F.col("word").alias("garbled"), "original").distinct()
+    beside = own.withColumnRenamed("word", "original").join(letters.select("original").distinct(), "original", "left_semi")
+    both = held.join(beside, ["source", "original"], "left_semi").select(F.col("word").alias("garbled"), "original").distinct()
     return short.where(F.col("garbled").rlike(SYMBOL)).unionByName(letters.join(both, ["garbled", "original"], "left_anti"))
 
 
