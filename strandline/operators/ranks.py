@@ -65,6 +65,27 @@ def ranked(df: DataFrame, keys: list[str], by: list[str], name: str) -> DataFram
     return rescan(ordered, carry, scan, f"{schema}, `{name}` bigint")
 
 
+def running_sum(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum (bigint) of ``value`` over all rows up to each one in the ascending order of ``by``; null counts as 0."""
+    ordered = range_sorted(df, *by)
+    of = lambda b: b.column(value).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = summarise(ordered, lambda batches: {"n": sum(parts)} if (parts := [int(of(b).sum()) for b in batches]) else None, "n bigint")
+    carry, total = {}, 0
+    for part in sorted(found):
+        carry[part] = total
+        total += found[part]["n"]
+
+    def scan(state: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto = state or 0
+        for b in batches:
+            sums = upto + np.cumsum(of(b))
+            upto = int(sums[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.int64())], names=[*b.schema.names, name])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in ordered.dtypes)
+    return rescan(ordered, carry, scan, f"{schema}, `{name}` bigint")
+
+
 def percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row (n, *shares): the smallest value that at least the share of the non-null values does not exceed; null for an
     empty column. Values are counted first, so a value that many rows hold is one row of the sort."""

@@ -12,6 +12,7 @@ from strandline.functions import replies as rp
 from strandline.functions.keys import QID_SQL, VIDEO_SQL, qid_key, video_key
 from strandline.operators.range_join import overlapping, points_in_intervals
 from strandline.plans.anchors import ANCHORS_SQL, anchors, merged_sql
+from strandline.operators.ranks import percentiles, ranked
 from strandline.plans.registry import Registry
 from strandline.plans.replies import HITS_SQL, PAIR_SQL, RESPONSES_SQL, correctness, responses, with_hits
 from strandline.session import table
@@ -114,22 +115,22 @@ def filt_subset(spark, sf_dir):
     return anchors(spark, sf_dir).join(candidates(spark, sf_dir), ["video_id", "qid"], "left_semi").select("row_id")
 
 
-@R.add("join_subset_positional", f"WITH {CAND_SQL}, pos AS (SELECT DISTINCT cand_id * 3 AS p FROM cand) SELECT row_id FROM anchors a WHERE row_id IN (SELECT p FROM pos)")
+@R.add("join_subset_positional", f"WITH {CAND_SQL}, pos AS (SELECT DISTINCT cand_id AS p FROM cand), a AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place FROM anchors) SELECT row_id, place FROM a WHERE place IN (SELECT p FROM pos)")
 def join_subset_positional(spark, sf_dir):
-    """Rows at the positions of a list."""
-    pos = candidates(spark, sf_dir).select((F.col("cand_id") * 3).alias("row_id"))
-    return anchors(spark, sf_dir).join(pos, "row_id", "left_semi").select("row_id")
+    """The rows that stand at the positions of a list, counted from 0 in the order of the table."""
+    placed = ranked(anchors(spark, sf_dir).select("row_id"), [], ["row_id"], "place")
+    return placed.join(candidates(spark, sf_dir).select(F.col("cand_id").alias("place")), "place", "left_semi").select("row_id", "place")
 
 
 @R.add("sort_restore_input", f"WITH {ANCHORS_SQL} SELECT row_id, row_number() OVER (PARTITION BY batch_id ORDER BY row_id) AS place FROM anchors")
 def sort_restore_input(spark, sf_dir):
     """Input order within each batch."""
-    return anchors(spark, sf_dir).select("row_id", F.row_number().over(Window.partitionBy("batch_id").orderBy("row_id")).cast("bigint").alias("place"))
+    return win_index(spark, sf_dir).select("row_id", (F.col("idx") + 1).alias("place"))
 
 
 @R.add("win_index", f"WITH {ANCHORS_SQL} SELECT row_id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY row_id) - 1 AS idx FROM anchors")
 def win_index(spark, sf_dir):
-    return anchors(spark, sf_dir).select("row_id", "batch_id", (F.row_number().over(Window.partitionBy("batch_id").orderBy("row_id")) - 1).cast("bigint").alias("idx"))
+    return ranked(anchors(spark, sf_dir).select("row_id", "batch_id"), ["batch_id"], ["row_id"], "idx")
 
 
 @R.add("join_file_exists", f"WITH {CAND_SQL}, files AS (SELECT DISTINCT video_id || '_' || qid AS stem FROM anchors) SELECT cand_id, coalesce(qid IS NOT NULL AND EXISTS (SELECT 1 FROM files f WHERE f.stem = c.video_id || '_' || c.qid), false) AS present FROM cand c")
@@ -345,24 +346,19 @@ def agg_vhd(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.exists("gold", lambda g: iv.point_inside(F.col("t"), g))).alias("hits"), F.count_if(F.col("t").isNull()).alias("failed"))
 
 
-@R.add("agg_dvc", f"""WITH {HITS_SQL}, b AS (SELECT row_id, pred, gold FROM hit WHERE len(gold) > 0 AND len(pred) > 0), p AS (SELECT row_id, generate_subscripts(pred, 1) AS pi, unnest(pred) AS p, gold FROM b), m AS (SELECT row_id, pi, p, generate_subscripts(gold, 1) AS gi, unnest(gold) AS g FROM p),
-x AS (SELECT row_id, pi, gi, greatest(0, least(p."end", g."end") - greatest(p.start, g.start)) / (least(greatest(p."end", g."end") - least(p.start, g.start), p."end" - p.start + g."end" - g.start) + 1e-8) AS iou FROM m),
-t AS (SELECT b.row_id, len(pred) AS np, len(gold) AS ng, (SELECT count(DISTINCT pi) FROM x WHERE x.row_id = b.row_id AND iou > 0.3) AS hp, (SELECT count(DISTINCT gi) FROM x WHERE x.row_id = b.row_id AND iou > 0.3) AS hg FROM b)
-SELECT count(*) AS n, round(avg(hp / np), 9) AS precision_03, round(avg(hg / ng), 9) AS recall_03 FROM t""")
-def agg_dvc(spark, sf_dir):
-    """Precision and recall of predicted spans at 0.3 over the replies that have any; at most 1,000 spans of a reply are a reply's own bound."""
-    rows = with_hits(spark, sf_dir).select("pred", iv.clean(F.col("evidence_intervals")).alias("gold")).where("size(gold) > 0 AND size(pred) > 0")
-    hp = F.size(F.filter("pred", lambda p: F.exists("gold", lambda g: iv.iou_captions(p, g) > 0.3))) / F.size("pred")
-    hg = F.size(F.filter("gold", lambda g: F.exists("pred", lambda p: iv.iou_captions(p, g) > 0.3))) / F.size("gold")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hp), 9).alias("precision_03"), F.round(F.avg(hg), 9).alias("recall_03"))
-
-
 #: Thresholds of the reference.
 DVC_IOUS = (0.1, 0.3, 0.5, 0.7)
 
 
-@R.add("agg_dvc_all")
-def agg_dvc_all(spark, sf_dir):
+_DVC_HIT = """greatest(0, least(p."end", g."end") - greatest(p.start, g.start)) / (least(greatest(p."end", g."end") - least(p.start, g.start), p."end" - p.start + g."end" - g.start) + 1e-8) > iou"""
+
+
+@R.add("agg_dvc", f"""WITH {HITS_SQL}, r AS (SELECT row_id, video_id, pred[1:1000] AS pred, gold FROM hit WHERE len(gold) > 0), c AS (SELECT count(*) AS total, count(*) FILTER (coalesce(len(pred), 0) = 0) AS failed FROM r),
+l AS (SELECT video_id, arg_max({{'pred': pred, 'gold': gold}}, row_id) AS m FROM r WHERE len(pred) > 0 GROUP BY video_id), e AS (SELECT m.pred AS pred, m.gold AS gold, unnest([0.1, 0.3, 0.5, 0.7]::DOUBLE[]) AS iou FROM l),
+s AS (SELECT iou, len(list_filter(pred, lambda p: len(list_filter(gold, lambda g: {_DVC_HIT})) > 0)) / len(pred) AS p, len(list_filter(gold, lambda g: len(list_filter(pred, lambda p: {_DVC_HIT})) > 0)) / len(gold) AS r FROM e),
+a AS (SELECT iou, count(*) AS videos, sum(p) / any_value(total) AS p, sum(r) / any_value(total) AS r, any_value(total) AS total, any_value(failed) AS failed FROM s, c GROUP BY iou), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM a)
+SELECT iou, total, failed, videos, round(p, 9) AS precision, round(r, 9) AS recall, round(f, 9) AS f1, round(sum(f) OVER () / 4, 9) AS mean_f1 FROM f""")
+def agg_dvc(spark, sf_dir):
     """Precision, recall and F1 of predicted spans at each threshold, over all replies to questions with evidence.
 
     Replies without spans failed. Of the others the last of a video counts, with its first 1,000 spans; means over videos
@@ -408,15 +404,22 @@ def agg_global_avg_dist(spark, sf_dir):
 
 @R.add("agg_quantiles", f"WITH {ANCHORS_SQL} SELECT min(d) AS low, max(d) AS high, quantile_disc(d, 0.5) AS median, quantile_disc(d, 0.9) AS p90, quantile_disc(d, 0.99) AS p99 FROM anchors")
 def agg_quantiles(spark, sf_dir):
-    return anchors(spark, sf_dir).agg(F.min("d").alias("low"), F.max("d").alias("high"), *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY d)").alias(n) for p, n in ((0.5, "median"), (0.9, "p90"), (0.99, "p99"))])
+    """Exact percentiles from counted values in global order."""
+    return percentiles(anchors(spark, sf_dir).select("d"), "d", {"low": 0.0, "high": 1.0, "median": 0.5, "p90": 0.9, "p99": 0.99}).drop("n")
+
+
+#: The coverage is looked at over so many first anchors; as in the reference.
+COVERAGE_SAMPLE = 200
 
 
-@R.add("agg_coverage_sample", f"WITH {merged_sql(True, False, False)}, c AS (SELECT m.row_id, least(sum(end_s - start_s) / any_value(a.d), 1) AS r FROM merged m JOIN anchors a USING (row_id) WHERE a.d IS NOT NULL GROUP BY ALL) SELECT count(*) AS n, round(avg(r), 6) AS mean, round(min(r), 6) AS low, round(max(r), 6) AS high FROM c")
+@R.add("agg_coverage_sample", f"WITH {merged_sql(True, False, False)}, c AS (SELECT m.row_id, least(sum(end_s - start_s) / any_value(a.d), 1) AS r FROM merged m JOIN anchors a USING (row_id) WHERE a.d IS NOT NULL GROUP BY ALL ORDER BY m.row_id LIMIT {COVERAGE_SAMPLE}) SELECT count(*) AS n, round(avg(r), 6) AS mean, round(list_sort(list(r))[count(*) // 2 + 1], 6) AS median, round(min(r), 6) AS low, round(max(r), 6) AS high FROM c")
 def agg_coverage_sample(spark, sf_dir):
-    """Share of the duration that the evidence covers, over all anchors."""
-    rows = anchors(spark, sf_dir).where("d IS NOT NULL").select("d", iv.normalize(F.col("gold")).alias("m")).where("size(m) > 0")
+    """Share of the duration that the evidence covers, over the first 200 anchors that have both: a sampling operator. The median is the upper one."""
+    rows = anchors(spark, sf_dir).where("d IS NOT NULL").select("row_id", "d", iv.normalize(F.col("gold")).alias("m")).where("size(m) > 0").orderBy("row_id").limit(COVERAGE_SAMPLE)
     r = F.least(iv.union_length(F.col("m")) / F.col("d"), F.lit(1.0))
-    return rows.select(r.alias("r")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.min("r"), 6).alias("low"), F.round(F.max("r"), 6).alias("high"))
+    made = rows.select(r.alias("r")).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.sort_array(F.collect_list("r")).alias("all"), F.min("r").alias("low"), F.max("r").alias("high"))
+    upper = F.get("all", F.floor(F.col("n") / 2).cast("int"))
+    return made.select("n", F.round("mean", 6).alias("mean"), F.round(upper, 6).alias("median"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @R.add("win_best_so_far", f"WITH {RESPONSES_SQL}, b AS (SELECT run_id, alpha_pct, count(*) AS n FROM responses WHERE alpha_pct IS NOT NULL GROUP BY ALL), w AS (SELECT *, max(n) OVER (PARTITION BY run_id ORDER BY alpha_pct ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM b) SELECT run_id, alpha_pct, n, best IS NULL OR n > best AS kept FROM w")

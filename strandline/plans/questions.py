@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from strandline.functions import sampling as sm
 from strandline.functions import text as tx
 from strandline.functions.keys import QID_SQL, VIDEO_SQL, qid_key, video_key
-from strandline.operators.ordered_scan import range_sorted
+from strandline.operators.ranks import ranked, running_sum
 from strandline.plans.registry import Registry
-from strandline.session import cut, table
+from strandline.session import stored, table
 
 R = Registry()
 OPTIONS = ["a0", "a1", "a2", "a3", "a4"]
@@ -150,9 +150,13 @@ def vocabulary(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("bigint"))
 
 
-@R.add("agg_vocab_topk", f"WITH {VOCAB_SQL} SELECT answer, n, place - 1 AS id FROM vocab WHERE place <= 20")
+#: Size of the reference's vocabulary.
+VOCABULARY = 1000
+
+
+@R.add("agg_vocab_topk", f"WITH {VOCAB_SQL} SELECT answer, n, place - 1 AS id FROM vocab WHERE place <= {VOCABULARY}")
 def agg_vocab_topk(spark, sf_dir):
-    return vocabulary(spark, sf_dir, 20).select("answer", "n", (F.col("place") - 1).alias("id"))
+    return vocabulary(spark, sf_dir, VOCABULARY).select("answer", "n", (F.col("place") - 1).alias("id"))
 
 
 @R.add("topk_k", f"WITH {VOCAB_SQL} SELECT answer, n FROM vocab WHERE place <= 5")
@@ -160,44 +164,31 @@ def topk_k(spark, sf_dir):
     return vocabulary(spark, sf_dir, 5).select("answer", "n")
 
 
-@R.add("win_running_quartile", f"WITH {VOCAB_SQL}, s AS (SELECT answer, n, sum(n) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER () AS total FROM vocab WHERE place <= 1000) SELECT answer, n, CAST(least(floor((upto - n) * 4 / total), 3) AS BIGINT) AS bucket FROM s")
+@R.add("win_running_quartile", f"""WITH RECURSIVE {VOCAB_SQL}, c AS (SELECT answer, n, sum(n) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER () AS total FROM vocab),
+b(i, base) AS (SELECT 0, 0::HUGEINT UNION ALL SELECT i + 1, (SELECT min(upto) FROM c WHERE upto - base >= total / 4.0) FROM b WHERE i < 4 AND base < (SELECT max(total) FROM c))
+SELECT answer, n, (SELECT count(*) - 1 FROM b WHERE base < upto)::BIGINT AS bucket FROM c""")
 def win_running_quartile(spark, sf_dir):
-    """The 1,000 most common answers in four buckets of about equal mass; the window runs over the vocabulary only."""
-    v = vocabulary(spark, sf_dir, 1000)
-    upto = F.sum("n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("n").over(Window.partitionBy())
-    return v.select("answer", "n", F.least(F.floor((upto - F.col("n")) * 4 / total), F.lit(3)).cast("bigint").alias("bucket"))
-
-
-@R.add("join_isin_vocab", f"WITH {VOCAB_SQL} SELECT row_id FROM questions q WHERE EXISTS (SELECT 1 FROM vocab v WHERE v.answer = q.answer AND place <= 20)")
-def join_isin_vocab(spark, sf_dir):
-    return questions(spark, sf_dir).join(F.broadcast(vocabulary(spark, sf_dir, 20)), "answer", "left_semi").select("row_id")
-
-
-@R.add("proj_qa_item", f"WITH {VOCAB_SQL} SELECT q.row_id, coalesce(v.place - 1, -1) AS vocab_id, coalesce(list_position(options, q.answer) - 1, -1) AS choice_id FROM questions q LEFT JOIN vocab v ON v.answer = q.answer AND place <= 20")
-def proj_qa_item(spark, sf_dir):
-    v = F.broadcast(vocabulary(spark, sf_dir, 20).select("answer", "place"))
-    rows = questions(spark, sf_dir).join(v, "answer", "left")
-    at = F.array_position("options", F.col("answer")) - 1
-    return rows.select("row_id", F.coalesce(F.col("place") - 1, F.lit(-1)).alias("vocab_id"), F.coalesce(at, F.lit(-1)).cast("bigint").alias("choice_id"))
-
-
-#: Size of the reference's vocabulary; the three queries above keep the 20 of their SQL.
-VOCABULARY = 1000
-
+    """All answers, the most common first, in four buckets: each takes answers until it holds a quarter of all or more.
 
-@R.add("agg_vocab_top1000", f"WITH {VOCAB_SQL} SELECT answer, n, place - 1 AS id FROM vocab WHERE place <= {VOCABULARY}")
-def agg_vocab_top1000(spark, sf_dir):
-    return vocabulary(spark, sf_dir, VOCABULARY).select("answer", "n", (F.col("place") - 1).alias("id"))
+    A bucket's end is the least running sum a quarter above the last bucket's end: four small aggregations on the
+    running sums, which come from a global sort.
+    """
+    counts = questions(spark, sf_dir).where("answer IS NOT NULL").groupBy("answer").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
+    sums = stored(running_sum(counts.withColumn("less", -F.col("n")), ["less", "first"], "n", "upto"))
+    total, ends = sums.agg(F.sum("n")).first()[0] or 0, [0]
+    while len(ends) <= 4 and ends[-1] < total:
+        ends.append(sums.where((F.col("upto") - ends[-1]) * 4 >= total).agg(F.min("upto")).first()[0] or total)
+    bucket = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("upto"))) - 1
+    return sums.select("answer", "n", bucket.cast("bigint").alias("bucket"))
 
 
-@R.add("join_isin_vocab_top1000", f"WITH {VOCAB_SQL} SELECT row_id FROM questions q WHERE EXISTS (SELECT 1 FROM vocab v WHERE v.answer = q.answer AND place <= {VOCABULARY})")
-def join_isin_vocab_top1000(spark, sf_dir):
+@R.add("join_isin_vocab", f"WITH {VOCAB_SQL} SELECT row_id FROM questions q WHERE EXISTS (SELECT 1 FROM vocab v WHERE v.answer = q.answer AND place <= {VOCABULARY})")
+def join_isin_vocab(spark, sf_dir):
     return questions(spark, sf_dir).join(F.broadcast(vocabulary(spark, sf_dir, VOCABULARY)), "answer", "left_semi").select("row_id")
 
 
-@R.add("proj_qa_item_top1000", f"WITH {VOCAB_SQL} SELECT q.row_id, coalesce(v.place - 1, -1) AS vocab_id, coalesce(list_position(options, q.answer) - 1, -1) AS choice_id FROM questions q LEFT JOIN vocab v ON v.answer = q.answer AND place <= {VOCABULARY}")
-def proj_qa_item_top1000(spark, sf_dir):
+@R.add("proj_qa_item", f"WITH {VOCAB_SQL} SELECT q.row_id, coalesce(v.place - 1, -1) AS vocab_id, coalesce(list_position(options, q.answer) - 1, -1) AS choice_id FROM questions q LEFT JOIN vocab v ON v.answer = q.answer AND place <= {VOCABULARY}")
+def proj_qa_item(spark, sf_dir):
     v = F.broadcast(vocabulary(spark, sf_dir, VOCABULARY).select("answer", "place"))
     rows = questions(spark, sf_dir).join(v, "answer", "left")
     at = F.array_position("options", F.col("answer")) - 1
@@ -341,31 +332,10 @@ def split_by_membership(spark, sf_dir):
     return questions(spark, sf_dir).select("row_id", "video_id").join(a, "video_id", "left").join(b, "video_id", "left").select("row_id", F.coalesce("a", F.lit(False)).alias("in_a"), F.coalesce("b", F.lit(False)).alias("in_b"))
 
 
-@R.add("smp_neg_choices", f"""WITH {QUESTIONS_SQL}, o AS (SELECT "type" AS kind, answer, min(row_id) AS first FROM questions GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY first) AS p FROM o)
-SELECT kind, answer FROM r WHERE p <= 4""")
-def smp_neg_choices(spark, sf_dir):
-    """Four other answers per type as wrong choices, the first seen; distinct answers are ranked, not rows."""
-    o = questions(spark, sf_dir).groupBy(F.col("type").alias("kind"), "answer").agg(F.min("row_id").alias("first"))
-    return o.withColumn("p", F.row_number().over(Window.partitionBy("kind").orderBy("first"))).where("p <= 4").select("kind", "answer")
-
-
 #: Options of a question, and the share of questions whose distractors are replaced, in hundredths; as in the reference.
 CHOICES, REPLACED_PCT = len(OPTIONS), 30
 
 
-def numbered(df: DataFrame, by: str) -> DataFrame:
-    """``df`` with ``at``, its place from 0 in the order of ``by``: counted per partition, so that no task holds all."""
-    rows = range_sorted(df, by).withColumn("part", F.spark_partition_id())
-    sizes = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # one row per partition
-    before, upto = [], 0
-    for part in range(max(sizes, default=-1) + 1):
-        before.append(upto)
-        upto += sizes.get(part, 0)
-    start = F.get(F.array(*map(F.lit, before or [0])), F.col("part"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
-    return rows.withColumn("at", (start + within).cast("bigint")).drop("part")
-
-
 def negative_choices(rows: DataFrame, pct: int, seed: int) -> DataFrame:
     """(row_id, choices, answer_id): new options for a seeded ``pct`` hundredths of ``rows`` (row_id, kind, answer).
 
@@ -376,9 +346,9 @@ def negative_choices(rows: DataFrame, pct: int, seed: int) -> DataFrame:
     need = CHOICES - 1
     rows = rows.where("answer IS NOT NULL")
     typed = rows.where("kind IS NOT NULL").select("kind", "answer").distinct()
-    index = typed.withColumn("at", F.row_number().over(Window.partitionBy("kind").orderBy("answer")).cast("bigint") - 1)
-    whole = numbered(rows.select("answer").distinct(), "answer").withColumn("kind", F.lit(None).cast("string"))
-    index = cut(index.unionByName(whole))
+    index = ranked(typed, ["kind"], ["answer"], "at")
+    whole = ranked(rows.select("answer").distinct(), [], ["answer"], "at").withColumn("kind", F.lit(None).cast("string"))
+    index = stored(index.unionByName(whole))
     sizes = index.groupBy("kind").agg(F.count(F.lit(1)).alias("m"))
     picked = rows.where(F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(100)) < pct)
     large = sizes.where((F.col("m") > need) & F.col("kind").isNotNull()).select("kind", F.lit(True).alias("enough"))
@@ -401,12 +371,31 @@ def negative_choices(rows: DataFrame, pct: int, seed: int) -> DataFrame:
     return sets.select("row_id", F.array_insert(F.col("o.answer"), (F.col("answer_id") + 1).cast("int"), F.col("right")).alias("choices"), "answer_id")
 
 
-@R.add("smp_neg_choices_all")
-def smp_neg_choices_all(spark, sf_dir):
-    """Options of the questions whose distractors are replaced by other answers of their type."""
+def replaced_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negative_choices(questions(spark, sf_dir).select("row_id", F.col("type").alias("kind"), "answer"), REPLACED_PCT, 0)
 
 
+@R.add("smp_neg_choices")
+def smp_neg_choices(spark, sf_dir):
+    """Options of the questions whose distractors are replaced by other answers of their type."""
+    return replaced_choices(spark, sf_dir)
+
+
+@R.add("smp_neg_choices_check", f"""WITH {QUESTIONS_SQL}, p AS (SELECT "type" AS kind, count(DISTINCT answer) AS m FROM questions WHERE answer IS NOT NULL AND "type" IS NOT NULL GROUP BY ALL), a AS (SELECT count(DISTINCT answer) AS m FROM questions)
+SELECT p.kind, least({CHOICES}, CASE WHEN p.m > {CHOICES - 1} THEN p.m ELSE a.m END) AS n_choices, 0 AS without_answer, 0 AS repeated, CASE WHEN p.m > {CHOICES - 1} THEN 0 END AS of_other_type FROM p, a""")
+def smp_neg_choices_check(spark, sf_dir):
+    """Per type: the number of options, and the rows that break a rule (the answer at its place, no option twice, options of the type where it has enough)."""
+    rows = questions(spark, sf_dir).where("answer IS NOT NULL AND type IS NOT NULL").select("row_id", F.col("type").alias("kind"), "answer")
+    made = replaced_choices(spark, sf_dir).join(rows, "row_id")
+    typed = rows.groupBy("kind", F.col("answer").alias("choice")).agg(F.lit(True).alias("own"))
+    enough = rows.groupBy("kind").agg((F.countDistinct("answer") > CHOICES - 1).alias("enough"))
+    foreign = made.select("kind", F.explode("choices").alias("choice")).groupBy("kind", "choice").agg(F.count(F.lit(1)).alias("n")).join(typed, ["kind", "choice"], "left").groupBy("kind").agg(F.sum(F.when(F.col("own").isNull(), F.col("n")).otherwise(0)).alias("foreign"))
+    per = made.groupBy("kind").agg(
+        F.max(F.size("choices")).cast("bigint").alias("n_choices"), F.count_if(F.get("choices", F.col("answer_id").cast("int")) != F.col("answer")).alias("without_answer"), F.count_if(F.size(F.array_distinct("choices")) != F.size("choices")).alias("repeated")
+    )
+    return per.join(foreign, "kind").join(enough, "kind").select("kind", "n_choices", "without_answer", "repeated", F.when(F.col("enough"), F.col("foreign")).alias("of_other_type"))
+
+
 @R.add("smp_neg_questions", f"""WITH {QUESTIONS_SQL}, o AS (SELECT video_id, question, min(row_id) AS first FROM questions GROUP BY ALL), r AS (SELECT *, lead(question) OVER (PARTITION BY video_id ORDER BY first) AS other FROM o)
 SELECT video_id, question, other FROM r WHERE other IS NOT NULL""")
 def smp_neg_questions(spark, sf_dir):

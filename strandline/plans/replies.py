@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import intervals as iv
 from strandline.functions import replies as rp
 from strandline.functions.keys import QID_SQL, VIDEO_SQL, alpha_key, qid_key, video_key
+from strandline.operators.ranks import ranked
 from strandline.plans.registry import Registry
 from strandline.session import table
 
@@ -207,12 +208,12 @@ def set_except(spark, sf_dir):
     return correctness(spark, sf_dir, "sufficient").select("video_id", "qid").subtract(correctness(spark, sf_dir, "insufficient").select("video_id", "qid"))
 
 
-@R.add("sort_key_pair", f"{PAIR_SQL} SELECT s.video_id, s.qid, row_number() OVER (ORDER BY s.video_id, TRY_CAST(s.qid AS BIGINT), s.qid) AS place FROM s JOIN i ON s.video_id = i.video_id AND s.qid = i.qid WHERE s.ok AND NOT i.ok ORDER BY place LIMIT 500")
+@R.add("sort_key_pair", f"{PAIR_SQL} SELECT s.video_id, s.qid, row_number() OVER (ORDER BY s.video_id, TRY_CAST(s.qid AS BIGINT), s.qid) AS place FROM s JOIN i ON s.video_id = i.video_id AND s.qid = i.qid WHERE s.ok AND NOT i.ok ORDER BY place")
 def sort_key_pair(spark, sf_dir):
-    """The first 500 candidates (right with evidence, wrong without) in report order: keys, whole-number qids as numbers."""
-    picked = join_two_results(spark, sf_dir).where("s_ok AND NOT i_ok").select("video_id", "qid", F.col("qid").try_cast("bigint").alias("q"))
-    head = picked.orderBy("video_id", F.col("q").asc_nulls_last(), "qid").limit(500)  # the report's head is the feature
-    return head.select("video_id", "qid", F.row_number().over(Window.orderBy("video_id", F.col("q").asc_nulls_last(), "qid")).cast("bigint").alias("place"))
+    """The candidates (right with evidence, wrong without) in report order: keys, whole-number qids as numbers and before the others."""
+    number = F.col("qid").try_cast("bigint")
+    picked = join_two_results(spark, sf_dir).where("s_ok AND NOT i_ok").select("video_id", "qid", number.isNull().alias("text"), number.alias("q"))
+    return ranked(picked, [], ["video_id", "text", "q", "qid"], "at").select("video_id", "qid", (F.col("at") + 1).alias("place")).orderBy("place")
 
 
 @R.add("filt_condition_eq", f"WITH {RESPONSES_SQL} SELECT evidence_condition IS NOT DISTINCT FROM 'partial' AS kept, count(*) AS n FROM responses GROUP BY ALL")

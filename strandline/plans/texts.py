@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import intervals as iv
 from strandline.functions import sampling as sm
 from strandline.functions import text as tx
 from strandline.functions import times as tm
+from strandline.operators.ranks import rolling
 from strandline.operators.vectors import target_ranks, top_matches
 from strandline.plans.anchors import ANCHORS_SQL, anchors
 from strandline.plans.registry import Registry
@@ -299,10 +300,8 @@ def smp_seq_blocks(spark, sf_dir):
 
 @R.add("win_rolling_median", "WITH w AS (SELECT event_id, user_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v FROM events) SELECT event_id, list_sort(v)[(len(v) + 1) // 2] AS median, list_max(v) AS top, round(list_avg(v), 6) AS mean FROM w")
 def win_rolling_median(spark, sf_dir):
-    """Lower median, maximum and mean of a user's last 20 values."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-19, 0)
-    rows = table(spark, sf_dir, "events").select("event_id", F.sort_array(F.collect_list("value").over(w)).alias("v"))
-    return rows.select("event_id", F.get("v", F.floor((F.size("v") - 1) / 2).cast("int")).alias("median"), F.array_max("v").alias("top"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"), 6).alias("mean"))
+    """Lower median, maximum and mean of a user's last 20 values; a user's events may lie in many partitions."""
+    return rolling(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_id", "value", 20).withColumn("mean", F.round("mean", 6))
 
 
 @R.add("proj_fallback_key", "SELECT row_id, coalesce(line_text::JSON->>'$.alpha', line_text::JSON->>'$.mask_alpha', line_text::JSON->>'$.meta.alpha', 'UNKNOWN') AS alpha FROM result_lines")

@@ -12,11 +12,29 @@ def jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def json_array(df: DataFrame, path: str, order: list[str]) -> None:
-    """One indented JSON array in a single file, in order. The file is written by one task: for reports and lists, not for data."""
-    rows = df.orderBy(*order).select(F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("j"))
-    numbered = rows.coalesce(1)
-    lines = numbered.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value"))
-    lines.write.text(path)
+    """One indented JSON array in the single file ``array.json`` of the folder ``path``, in order.
+
+    The elements are sorted and formatted by all tasks, as parts of the folder; the parts are then copied behind one
+    another as a stream, so that no task and no driver holds more than a buffer of them.
+    """
+    spark = df.sparkSession
+    rows = df.orderBy(*order).select(F.concat(F.lit(",\n"), F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"})).alias("value"))
+    rows.write.text(f"{path}/_parts")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    parts = sorted((f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder, "_parts")) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda p: p.getName())
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, "array.json"))
+    out.write(bytearray(b"[\n"))
+    for i, part in enumerate(parts):
+        into = fs.open(part)
+        if i == 0:
+            into.skip(2)  # the comma before the first element
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(into, out, conf, False)
+        into.close()
+    out.write(bytearray(b"]"))
+    out.close()
+    fs.delete(jvm.org.apache.hadoop.fs.Path(folder, "_parts"), True)
 
 
 def csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:

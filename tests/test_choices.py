@@ -22,7 +22,7 @@ def test_every_question_gets_other_answers_of_its_type(spark):
 
 
 def test_registered_query(spark):
-    rows = __spark_entry__.queries()["smp_neg_choices_all"](spark, "/root/testdata/sf0.001").collect()
+    rows = __spark_entry__.queries()["smp_neg_choices"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(len(set(r.choices)) == len(r.choices) == 5 for r in rows)
 
 
