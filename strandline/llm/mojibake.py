@@ -9,8 +9,8 @@ joins are shuffle joins on the word.
 
 from __future__ import annotations
 
+import codecs
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -56,13 +56,13 @@ _OUTER = re.compile(r"^\W+|\W+$")
 CLAUSE_MARKS = "。，、：；！？（）"
 
 
-_ESCAPED = {0xDC00 + b: b for b in range(0x80, 0x100)}
+_ANSI = "".join(chr(ord(c) - 0xDC00) if "\udc80" <= c <= "\udcff" else c for c in bytes(range(256)).decode("cp1252", "surrogateescape"))
 
 
 def _decode(data: bytes, codec: str, errors: str) -> str:
     if codec != "ansi":
         return data.decode(codec, errors)
-    return data.decode("cp1252", "surrogateescape").translate(_ESCAPED)
+    return codecs.charmap_decode(data, "strict", _ANSI)[0]
 
 
 def _encode(text: str, codec: str) -> bytes:
@@ -107,8 +107,9 @@ def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
     return out
 
 
-#: Decoders that lose other characters at the end of a text than before a line break.
+#: Decoders that lose other characters at the end of a text than before a line break, where a digit stands near the end.
 _WIDE = ("gb18030",)
+_ASCII_DIGITS = frozenset("0123456789")
 
 
 @lru_cache(maxsize=None)
@@ -124,46 +125,88 @@ def _encodable(codec: str) -> frozenset[str]:
     return frozenset(out)
 
 
-def held_forms(words: list[str], held: Callable[[str], bool]) -> tuple[list[tuple[int, str, str, bool]], set[int]]:
-    """([(index of the word, form, chain, lossless)], indexes of words that some chain loses characters of): what
-    :func:`garbled_forms` gives for each word, of the forms that ``held`` lets pass. A chain is run over all words at once."""
-    out: dict[tuple[int, str], tuple[str, bytes | None, str]] = {}
-    lossy: set[int] = set()
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base modulo 2**64, and their inverses."""
+    if len(_POWERS.get("up", ())) < n:
+        n = max(1 << 18, 1 << n.bit_length())
+        for name, x in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, x, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS["up"], _POWERS["down"]
+
 
-    def take(at: list[int], forms: list[str], chain: str, data: Callable[[int], bytes | None], codec: str) -> None:
-        for i, form in zip(at, forms):
-            if LOST in form:
-                lossy.add(i)
-            if form and form != words[i] and held(form) and not form.isascii() and (i, form) not in out:
+def hashes(lines: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(31-bit hash, start, end) of the pieces between line breaks: a polynomial over the bytes, all pieces by one running sum."""
+    data = np.frombuffer(lines, dtype=np.uint8)
+    up, down = _powers(len(data) + 1)
+    upto = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=upto[1:])
+    cuts = np.flatnonzero(data == 10)
+    start, end = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])
+    h = (upto[end] - upto[start]) * down[start]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(33)).astype(np.int64), start, end
+
+
+def held_forms(words: list[str], held: Callable[[np.ndarray], np.ndarray]) -> tuple[list[tuple[int, str, str, bool]], int | None]:
+    """([(index of the word, form, chain, lossless)], index of a word that some chain loses characters of): what
+    :func:`garbled_forms` gives for each word, of the forms whose hash ``held`` lets pass. A chain is run over all words at
+    once, and its forms are hashed at once; only those that pass become strings."""
+    out: dict[tuple[int, str], tuple[str, bytes | None, str]] = {}
+    if not words:
+        return [], None
+    lossy: list[int] = []
+    every = np.arange(len(words))
+    joined = "\n".join(words)
+    utf8 = joined.encode("utf-8", "surrogatepass")
+    plain = hashes(utf8)[0]
+
+    def take(at: np.ndarray, lines: str, chain: str, data: Callable[[int], bytes | None], codec: str) -> None:
+        if not lossy and LOST in lines:
+            lossy.append(int(at[lines.count("\n", 0, lines.index(LOST))]))
+        raw = lines.encode("utf-8", "surrogatepass")
+        h, start, end = hashes(raw)
+        for j in np.flatnonzero(held(h) & (h != plain[at]) & (end > start)).tolist():
+            i, form = int(at[j]), raw[start[j] : end[j]].decode("utf-8", "surrogatepass")
+            if not form.isascii() and (i, form) not in out:
                 out[i, form] = (chain, data(i), codec)
 
-    def decoded(data: bytes, each: Callable[[int], bytes], at: list[int], codec: str, errors: str) -> list[str]:
-        forms = _decode(data, codec, errors).split("\n")
-        if codec in _WIDE:
-            if len(forms) != len(at):
-                return [_decode(each(i), codec, errors) for i in at]
-            if errors == "replace":
-                return [_decode(each(i), codec, errors) if LOST in f else f for i, f in zip(at, forms)]
-        return forms
-
-    everything = list(range(len(words)))
-    utf8 = "\n".join(words).encode("utf-8", "surrogatepass")
+    def decoded(data: bytes, each: Callable[[int], bytes], at: np.ndarray, codec: str) -> str:
+        lines = _decode(data, codec, "replace")
+        if codec not in _WIDE or LOST not in lines:
+            return lines
+        forms = lines.split("\n")
+        if len(forms) != len(at):
+            return "\n".join(_decode(each(i), codec, "replace") for i in at)
+        return "\n".join(_decode(each(i), codec, "replace") if LOST in f and any(c in _ASCII_DIGITS for c in words[i][-2:]) else f for i, f in zip(at, forms))
+
     own = lambda i: words[i].encode("utf-8", "surrogatepass")
+    nothing = lambda i: None
     for codec in UTF8_READ_AS:
-        once = decoded(utf8, own, everything, codec, "replace")
-        take(everything, once, f"utf-8>{codec}", own, codec)
+        once = decoded(utf8, own, every, codec)
+        take(every, once, f"utf-8>{codec}", own, codec)
         if codec in ("ansi", "latin-1", "mac_roman"):
-            again = lambda i, once=once: once[i].encode("utf-8")
-            take(everything, _decode("\n".join(once).encode("utf-8"), codec, "replace").split("\n"), f"utf-8>{codec}>utf-8>{codec}", again, codec)
-        lost = [i for i in everything if LOST in once[i]]
-        if lost:
-            take(lost, [_decode(own(i), codec, "ignore") for i in lost] if codec in _WIDE else _decode("\n".join(words[i] for i in lost).encode("utf-8", "surrogatepass"), codec, "ignore").split("\n"), f"utf-8>{codec} ignored", lambda i: None, codec)
-    take(everything, _CONTROLS.sub("", utf8.decode("latin-1")).split("\n"), "utf-8>latin-1 without controls", lambda i: None, "latin-1")
+            again = lambda i, codec=codec: _decode(own(i), codec, "replace").encode("utf-8")
+            take(every, _decode(once.encode("utf-8"), codec, "replace"), f"utf-8>{codec}>utf-8>{codec}", again, codec)
+        if LOST in once:
+            lost = np.array([i for i, form in enumerate(once.split("\n")) if LOST in form])
+            if codec in _WIDE and any(c in _ASCII_DIGITS for i in lost for c in words[i][-2:]):
+                left = "\n".join(_decode(own(i), codec, "ignore") for i in lost)
+            else:
+                left = _decode("\n".join(words[i] for i in lost).encode("utf-8", "surrogatepass"), codec, "ignore")
+            take(lost, left, f"utf-8>{codec} ignored", nothing, codec)
+    take(every, _CONTROLS.sub("", utf8.decode("latin-1")), "utf-8>latin-1 without controls", nothing, "latin-1")
     foreign = [{c for c in w if c > "\x7f"} for w in words]
     for true, wrongs in LEGACY_READ_AS.items():
         known = _encodable(true)
-        at = [i for i in everything if foreign[i] <= known] if true != "gb18030" else everything
-        if not at:
+        at = every if true == "gb18030" else np.array([i for i, f in enumerate(foreign) if f <= known], dtype=np.int64)
+        if not len(at):
             continue
         mine = lambda i, true=true: words[i].encode(true)
         try:
@@ -171,7 +214,7 @@ def held_forms(words: list[str], held: Callable[[str], bool]) -> tuple[list[tupl
         except UnicodeEncodeError:  # lone surrogates
             continue
         for codec in wrongs:
-            take(at, decoded(data, mine, at, codec, "replace"), f"{true}>{codec}", mine, codec)
+            take(at, decoded(data, mine, at, codec), f"{true}>{codec}", mine, codec)
 
     def lossless(form: str, data: bytes | None, codec: str) -> bool:
         try:
@@ -179,7 +222,7 @@ def held_forms(words: list[str], held: Callable[[str], bool]) -> tuple[list[tupl
         except UnicodeEncodeError:
             return False
 
-    return [(i, form, chain, lossless(form, data, codec)) for (i, form), (chain, data, codec) in out.items()], lossy
+    return [(i, form, chain, lossless(form, data, codec)) for (i, form), (chain, data, codec) in out.items()], lossy[0] if lossy else None
 
 
 @lru_cache(maxsize=1)
@@ -276,7 +319,7 @@ EVIDENCE, EVIDENCE_LENGTH = 2, 3
 #: What clean words do not look like: a symbol between letters, a capital after a small letter, two scripts, four accented Latin letters in a row.
 ODD = r"\p{L}[^\p{L}\p{M}\p{N}\x00-\x7f’‘ʼ·‐‑–—…]\p{L}|\p{Ll}\p{Lu}|\p{IsLatin}[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}]\p{IsLatin}|[\x{c0}-\x{24f}]{4}"
 #: Bits of the set over the vocabulary for each word, and at most (2**31: 256 MB). Beyond, more forms pass that no document holds; the join drops them.
-BITS_PER_WORD, MOST_BITS = 16, 31
+BITS_PER_WORD, MOST_BITS = 64, 31
 WITHOUT = "utf-8>latin-1 without controls"
 
 
@@ -293,8 +336,14 @@ def word_bits(vocabulary: DataFrame) -> tuple[int, np.ndarray]:
     """
     n = vocabulary.count()
     size = min(max(n * BITS_PER_WORD, 1 << 16).bit_length(), MOST_BITS)
-    at = F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit((1 << size) - 1))
-    longs = vocabulary.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b"))
+    mask = (1 << size) - 1
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(hashes("\n".join(batch.column(0).to_pylist()).encode())[0] & mask, pa.int64())], names=["at"])
+
+    longs = vocabulary.select("word").mapInArrow(hashed, "at bigint").groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b"))
     blocks = longs.groupBy(F.shiftright("i", 13).alias("block")).agg(F.collect_list(F.struct("i", "b")).alias("l"))  # at most 8,192 each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,15 +368,15 @@ def garbled_table(vocabulary: DataFrame) -> DataFrame:
     """(garbled, original, chain, lossless, n_original) of every clean word along every chain, without forms that no
     document holds for sure. U+FFFD stands for the characters that any of them loses."""
     size, made = word_bits(vocabulary)
-    shared = vocabulary.sparkSession.sparkContext.broadcast(made.tobytes())
+    shared = vocabulary.sparkSession.sparkContext.broadcast(made)
     mask = (1 << size) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
 
-        def held(form: str) -> bool:
-            at = zlib.crc32(form.encode("utf-8", "surrogatepass")) & mask
-            return bits[at >> 3] >> (at & 7) & 1 == 1
+        def held(h: np.ndarray) -> np.ndarray:
+            at = h & mask
+            return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
         kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
         for whole in batches:
@@ -336,7 +385,8 @@ def garbled_table(vocabulary: DataFrame) -> DataFrame:
                 pairs = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _plain(w)]
                 found, lossy = held_forms([w for w, _ in pairs], held)
                 out = [(form, pairs[i][0], chain, lossless, pairs[i][1]) for i, form, chain, lossless in found]
-                out += [(LOST, pairs[i][0], "lost", False, pairs[i][1]) for i in sorted(lossy)[:1]]
+                if lossy is not None:
+                    out.append((LOST, pairs[lossy][0], "lost", False, pairs[lossy][1]))
                 cols = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["garbled", "original", "chain", "lossless", "n_original"])
 

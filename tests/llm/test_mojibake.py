@@ -1,6 +1,9 @@
 """Garbled text: what is found, what is restored, and what must be left alone."""
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from strandline.llm import mojibake as M
 
@@ -95,3 +98,21 @@ def test_short_legacy_forms_with_a_clear_ratio(spark):
     garbled = ["25 °C;".encode("mac_roman").decode("latin-1"), "20 °C".encode("cp1252").decode("mac_roman")]
     got = {r.doc_id: r.restored for r in M.restore(frame(spark, clean + garbled), "doc_id", "text").collect()}
     assert got == {442: "25 °C;", 443: "20 °C"}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aB1é5ßЖдя画面ｱ船“–°ÿ퟿", min_size=1, max_size=6), min_size=1, max_size=8, unique=True))
+def test_forms_of_many_words_are_those_of_each(words):
+    words = [w for w in words if not w.isascii()]
+    every, lossy = M.held_forms(words, lambda h: np.ones(len(h), dtype=bool))
+    want = {(i, form, *how) for i, w in enumerate(words) for form, how in M.garbled_forms(w).items()}
+    assert set(every) == want and (lossy is not None) == any(M.LOST in f for _, f, _, _ in want)
+    few = {int(M.hashes(f.encode())[0][0]) for _, f, _, _ in list(want)[::3]}
+    some, _ = M.held_forms(words, lambda h: np.isin(h, list(few)))
+    assert set(some) == {x for x in want if int(M.hashes(x[1].encode())[0][0]) in few}
+
+
+def test_runs_are_garbled_again():
+    text = "船纸断判"
+    assert M.garbles_to(text, "utf-8>latin-1", text.encode().decode("latin-1")) and not M.garbles_to(text, "utf-8>latin-1", text.encode().decode("latin-1")[:-1])
+    assert not M.garbles_to("x", "utf-8>latin-1 without controls", "x")
