@@ -231,99 +231,6 @@ def orch_retry(spark, sf_dir):
     return spark.range(1).select(F.explode(md.retry_delays(3)).alias("delay_s"))
 
 
-# media plans
-
-
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, video_id, d, m, source, target): an anchor's merged spans with the files of its degraded version."""
-    rows = anchors(spark, sf_dir).select("row_id", "video_id", "qid", "d", iv.normalize(F.col("gold"), keep_empty=True).alias("m"))
-    return rows.withColumns({"source": F.concat(F.lit("videos/"), "video_id", F.lit(".mp4")), "target": F.concat(F.lit("out/"), F.concat_ws("_", "video_id", "qid"), F.lit(".mp4"))})
-
-
-def command(c):
-    return F.array_join(c, " ")
-
-
-@R.add("med_blackout_cmd")
-def med_blackout_cmd(spark, sf_dir):
-    return jobs(spark, sf_dir).where("size(m) > 0").select("row_id", command(md.blackout_command(F.col("source"), F.col("target"), F.col("m"))).alias("command"))
-
-
-@R.add("med_freeze_cmd")
-def med_freeze_cmd(spark, sf_dir):
-    stills = F.transform("m", lambda x, i: F.concat(F.lit("stills/"), F.col("row_id").cast("string"), F.lit("_"), i.cast("string"), F.lit(".png")))
-    return jobs(spark, sf_dir).where("size(m) > 0").select("row_id", command(md.freeze_command(F.col("source"), F.col("target"), F.col("m"), stills, True)).alias("command"))
-
-
-@R.add("med_freeze_extract")
-def med_freeze_extract(spark, sf_dir):
-    return jobs(spark, sf_dir).select("row_id", F.posexplode(md.still_commands(F.col("source"), F.col("m"), F.concat(F.lit("stills/"), F.col("row_id").cast("string")))).alias("i", "command"))
-
-
-@R.add("med_noise_graph")
-def med_noise_graph(spark, sf_dir):
-    rows = jobs(spark, sf_dir).where("size(m) > 0").select("row_id", "m", F.explode(F.array(F.lit(0.05), F.lit(0.3))).alias("alpha"))
-    return rows.select("row_id", "alpha", md.noise_graph(F.col("m"), F.col("alpha")).alias("graph"))
-
-
-@R.add("med_blur_vf")
-def med_blur_vf(spark, sf_dir):
-    rows = jobs(spark, sf_dir).where("size(m) > 0").select("row_id", "m", F.explode(F.array(F.lit(0.3), F.lit(1.0))).alias("alpha"))
-    return rows.select("row_id", "alpha", md.blur_filter(F.col("m"), F.col("alpha")).alias("filter"))
-
-
-@R.add("med_partial_cmd")
-def med_partial_cmd(spark, sf_dir):
-    rows = jobs(spark, sf_dir).where("size(m) > 0")
-    return rows.select("row_id", command(md.partial_command(F.col("source"), F.col("target"), md.noise_graph(F.col("m"), F.lit(0.3)))).alias("command"))
-
-
-@R.add("med_compress", "SELECT row_id, 'ffmpeg -y -i videos/' || video_id || '.mp4 -vf scale=224:-2,fps=3 small/' || video_id || '.mp4' AS command FROM gsub_test")
-def med_compress(spark, sf_dir):
-    file = lambda folder: F.concat(F.lit(folder), "video_id", F.lit(".mp4"))
-    return table(spark, sf_dir, "gsub_test").select("row_id", command(md.compress_command(file("videos/"), file("small/"))).alias("command"))
-
-
-@R.add("med_extract_frames")
-def med_extract_frames(spark, sf_dir):
-    rows = jobs(spark, sf_dir).where("d IS NOT NULL")
-    return rows.select("row_id", F.posexplode(md.frame_commands(F.col("source"), sm.uniform(F.col("d"), F.lit(4)))).alias("i", "command"))
-
-
-STATUS_SQL = f"{ANCHORS_SQL}, per AS (SELECT video_id, count(DISTINCT batch_id) AS n FROM anchors GROUP BY ALL), st AS (SELECT a.row_id, CASE WHEN len(gold) = 0 THEN 'skip_no_intervals' WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN d IS NULL THEN 'skip_exists' ELSE 'dry_run' END AS status FROM anchors a LEFT JOIN per p ON p.video_id = a.video_id)"
-
-
-@R.add("med_process_level", f"WITH {STATUS_SQL} SELECT row_id, status FROM st")
-def med_process_level(spark, sf_dir):
-    """Status of each job, with the number of batches that hold the video as the number of inputs."""
-    rows = anchors(spark, sf_dir)
-    n = rows.groupBy("video_id").agg(F.countDistinct("batch_id").alias("n"))
-    return rows.join(n, "video_id", "left").select("row_id", md.build_status(F.col("gold"), F.col("n"), F.col("d").isNull(), True).alias("status"))
-
-
-@R.add("orch_dryrun", f"WITH {STATUS_SQL} SELECT status, count(*) AS n FROM st GROUP BY ALL")
-def orch_dryrun(spark, sf_dir):
-    return med_process_level(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@R.add("med_check", "SELECT row_id, CASE WHEN fps IS NULL OR duration IS NULL OR duration <= 0 THEN 'corrupt' WHEN abs(duration - round(duration / 10) * 10) > 2 THEN 'duration_mismatch' ELSE 'ok' END AS verdict FROM gsub_test")
-def med_check(spark, sf_dir):
-    """Verdict on probed against expected durations; the tens stand for what was expected."""
-    ok = F.col("fps").isNotNull() & F.coalesce(F.col("duration") > 0, F.lit(False))
-    return table(spark, sf_dir, "gsub_test").select("row_id", md.probe_verdict(ok, F.col("duration"), F.round(F.col("duration") / 10) * 10).alias("verdict"))
-
-
-@R.add("med_nonevidence_pick", f"WITH {ANCHORS_SQL} SELECT row_id, list_filter([5.0::DOUBLE, d / 2, d * 0.8, d * 0.3], lambda t: len(list_filter(gold, lambda g: t >= g.start - 1 AND t <= g.\"end\" + 1)) = 0)[1] AS at_s FROM anchors WHERE d IS NOT NULL")
-def med_nonevidence_pick(spark, sf_dir):
-    return anchors(spark, sf_dir).where("d IS NOT NULL").select("row_id", md.outside_time(F.col("d"), F.col("gold")).alias("at_s"))
-
-
-@R.add("med_verify", "SELECT row_id, duration > 0 AND abs(fps - round(fps)) <= 0.5 AS pass FROM gsub_test WHERE duration IS NOT NULL AND fps IS NOT NULL")
-def med_verify(spark, sf_dir):
-    """Rules on measured values."""
-    return table(spark, sf_dir, "gsub_test").where("duration IS NOT NULL AND fps IS NOT NULL").select("row_id", ((F.col("duration") > 0) & (F.abs(F.col("fps") - F.round("fps")) <= 0.5)).alias("pass"))
-
-
 # calls
 
 
@@ -358,18 +265,6 @@ def orch_process_pool(spark, sf_dir):
     return call_external(spark, sf_dir)
 
 
-@R.add("med_probe_duration", "SELECT row_id, substr('ABCDE', CAST(length(video_id) % 5 AS INT) + 1, 1) AS probed FROM gsub_test WHERE video_id <> ''")
-def med_probe_duration(spark, sf_dir):
-    """A probe per distinct file, joined back to all rows."""
-    made = runner.distinct_call(table(spark, sf_dir, "gsub_test").where("video_id <> ''"), "video_id", echo, "reply")
-    return made.select("row_id", F.get_json_object("reply", "$.answer").alias("probed"))
-
-
-@R.add("med_measure", "SELECT row_id, substr('ABCDE', CAST(length(video_id) % 5 AS INT) + 1, 1) AS probed FROM gsub_test WHERE video_id <> ''")
-def med_measure(spark, sf_dir):
-    return med_probe_duration(spark, sf_dir)
-
-
 @R.add("call_judge", "SELECT row_id, CASE WHEN length(question) % 5 < 3 THEN length(question) % 5 ELSE 2 END AS step_1, CASE WHEN length(question) % 5 >= 2 THEN CASE WHEN length(answer) % 5 IN (0, 2, 4) THEN 0 ELSE 1 END END AS step_2 FROM test WHERE question <> '' AND answer <> ''")
 def call_judge(spark, sf_dir):
     """Two steps: the text step gives 0, 1 or 2, and only what got 2 goes to the second step."""
