@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.replies import parsed
 from strandline.functions.text import frame_rate, short_number
 
 
@@ -160,7 +161,7 @@ def probe(text: Column) -> Column:
     got = F.from_json(text, PROBE)
     streams = F.coalesce(got["streams"], F.array().cast("array<struct<codec_type string, width int, height int, r_frame_rate string>>"))
     video = F.get(F.filter(streams, lambda s: s["codec_type"] == "video"), F.lit(0))
-    error = F.when(text.isNull() | F.try_parse_json(text).isNull(), "not JSON").when(video.isNull(), "no video stream")
+    error = F.when(text.isNull() | parsed(text).isNull(), "not JSON").when(video.isNull(), "no video stream")
     good = lambda c, name: F.when(error.isNull(), c).alias(name)
     duration = F.when(got["format"]["duration"].isNull(), F.lit(0.0)).otherwise(got["format"]["duration"].try_cast("double"))
     audio = F.exists(streams, lambda s: s["codec_type"] == "audio")

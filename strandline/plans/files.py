@@ -226,11 +226,6 @@ def sink_download(spark, sf_dir):
     return spark.range(1).select(F.explode(md.retry_delays(6)).alias("delay_s"))
 
 
-@R.add("orch_retry", "SELECT unnest([2.0, 4.0, 8.0]::DOUBLE[]) AS delay_s")
-def orch_retry(spark, sf_dir):
-    return spark.range(1).select(F.explode(md.retry_delays(3)).alias("delay_s"))
-
-
 # calls
 
 
@@ -255,14 +250,41 @@ def call_external(spark, sf_dir):
     return made.select("row_id", "status", F.get_json_object("reply", "$.answer").alias("answer"))
 
 
-@R.add("orch_pool", CALL_SQL)
+@R.add("orch_pool", "SELECT row_id, 'ok' AS status, substr('ABCDE', CAST(length(answer) % 5 AS INT) + 1, 1) AS answer FROM test WHERE answer <> '' UNION ALL SELECT row_id, 'error', NULL FROM test WHERE answer = '' OR answer IS NULL")
 def orch_pool(spark, sf_dir):
-    return call_external(spark, sf_dir)
+    """Every answer through the stand-in client, 32 at once in each task; failing calls are rows of their own."""
+    made = runner.call(table(spark, sf_dir, "test"), "row_id", "answer", echo, at_once=32)
+    return made.select("row_id", "status", F.when(F.col("status") == "ok", F.get_json_object("reply", "$.answer")).alias("answer"))
 
 
-@R.add("orch_process_pool", CALL_SQL)
+@R.add("orch_process_pool", "SELECT row_id, substr('ABCDE', CAST(length(question) % 5 AS INT) + 1, 1) AS answer FROM test WHERE question <> ''")
 def orch_process_pool(spark, sf_dir):
-    return call_external(spark, sf_dir)
+    """Every distinct question once, by as many processes as there are partitions, joined back to its rows."""
+    made = runner.distinct_call(table(spark, sf_dir, "test").where("question <> ''"), "question", echo, "reply")
+    return made.select("row_id", F.get_json_object("reply", "$.answer").alias("answer"))
+
+
+def flaky():
+    """A deterministic stand-in that fails as often as its payload's length modulo 4 says before it answers."""
+    seen: dict[str, int] = {}
+
+    def client(payload: str) -> str:
+        number, _, text = payload.partition("|")
+        seen[number] = seen.get(number, 0) + 1
+        if seen[number] <= len(text) % 4:
+            raise TimeoutError(f"attempt {seen[number]}")
+        return text
+
+    return client
+
+
+@R.add("orch_retry", "SELECT row_id, CASE WHEN length(question) % 4 < 3 THEN 'ok' ELSE 'error' END AS status, least(length(question) % 4 + 1, 3) AS attempts, list_sum(list_transform(range(1, least(length(question) % 4 + 1, 3)), lambda k: least(power(2.0, k), 30)))::DOUBLE AS waited_s FROM test WHERE question <> ''")
+def orch_retry(spark, sf_dir):
+    """Three attempts for each question with growing waits, which the stand-in does not sit out."""
+    rows = table(spark, sf_dir, "test").where("question <> ''").withColumn("p", F.concat(F.col("row_id").cast("string"), F.lit("|"), F.regexp_replace("question", r"\|", " ")))
+    made = runner.call(rows, "row_id", "p", flaky, attempts=3, sleep=lambda s: None)
+    waits = F.aggregate(F.filter(md.retry_delays(3), lambda x, i: i < F.col("attempts") - 1), F.lit(0.0), lambda a, x: a + x)
+    return made.select("row_id", "status", F.col("attempts").cast("bigint").alias("attempts"), F.when(F.col("attempts") > 1, waits).alias("waited_s"))
 
 
 @R.add("call_judge", "SELECT row_id, CASE WHEN length(question) % 5 < 3 THEN length(question) % 5 ELSE 2 END AS step_1, CASE WHEN length(question) % 5 >= 2 THEN CASE WHEN length(answer) % 5 IN (0, 2, 4) THEN 0 ELSE 1 END END AS step_2 FROM test WHERE question <> '' AND answer <> ''")
@@ -312,16 +334,21 @@ def stream_work_log(spark, sf_dir):
 # checks of schemas
 
 
-@R.add("val_template_keys", "SELECT unnest(['row_id', 'video_id', 'frame_count', 'width', 'height', 'question', 'answer', 'qid', 'type', 'a0', 'a1', 'a2', 'a3', 'a4', 'loaded_at']) AS field")
+@R.add("val_template_keys", "SELECT unnest(json_keys(j)) AS field FROM (SELECT arg_min(line_text, row_id)::JSON AS j FROM result_lines)")
 def val_template_keys(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in table(spark, sf_dir, "test").columns], "field string")
+    """The keys of the first record of a template, which is written as a JSON array first."""
+    path = fresh_dir(spark, "template")
+    first = table(spark, sf_dir, "result_lines").orderBy("row_id").limit(1).select(F.concat(F.lit("["), "line_text", F.lit("]")).alias("value"))
+    first.write.text(path)
+    return readers.template_keys(spark, path)
 
 
-@R.add("val_schema", "SELECT unnest(['frame_count', 'width', 'height', 'a0', 'a1', 'a2', 'a3', 'a4', 'type']) AS field, 'extra' AS kind UNION ALL SELECT unnest(['choices', 'evidence_intervals']), 'missing'")
+@R.add("val_schema", """WITH k AS (SELECT unnest(json_keys(line_text::JSON)) AS field, row_id FROM result_lines), t AS (SELECT field FROM k WHERE row_id = (SELECT min(row_id) FROM result_lines)), n AS (SELECT count(*) AS n FROM result_lines),
+h AS (SELECT field, count(DISTINCT row_id) AS c FROM k GROUP BY field) SELECT field, 'missing' AS kind, n - coalesce(c, 0) AS n_records FROM t LEFT JOIN h USING (field), n WHERE n > coalesce(c, 0) UNION ALL SELECT field, 'extra', c FROM h WHERE field NOT IN (SELECT field FROM t)""")
 def val_schema(spark, sf_dir):
-    """Fields that a table has beyond a template, and those it lacks."""
-    have, want = set(table(spark, sf_dir, "test").columns) - {"row_id", "loaded_at"}, {"video_id", "qid", "question", "answer", "choices", "evidence_intervals"}
-    return spark.createDataFrame([(c, "extra") for c in sorted(have - want)] + [(c, "missing") for c in sorted(want - have)], "field string, kind string")
+    """Keys of all records beside those of a template: how many records lack or add each."""
+    want = val_template_keys(spark, sf_dir)
+    return readers.key_differences(table(spark, sf_dir, "result_lines"), "line_text", [r.field for r in want.collect()])  # as many as a record has keys
 
 
 @R.add("val_binaries", "SELECT 'ffmpeg' AS tool, true AS checked UNION ALL SELECT 'ffprobe', true")

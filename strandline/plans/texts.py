@@ -29,15 +29,6 @@ def fn_number_pairs(spark, sf_dir):
     return rows.select("row_id", F.col("i").cast("bigint").alias("i"), F.col("p.start").alias("start_s"), F.col("p.end").alias("end_s"))
 
 
-@R.add("iv_parse_clues", r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\[\d+(?:\.\d+)?, \d+(?:\.\d+)?\]')) AS c FROM documents),
-n AS (SELECT doc_id, list_transform(regexp_extract_all(c, '\d+(?:\.\d+)?'), lambda x: CAST(x AS DOUBLE)) AS n FROM c) SELECT doc_id, least(n[1], n[2]) AS start_s, greatest(n[1], n[2]) AS end_s FROM n""")
-def iv_parse_clues(spark, sf_dir):
-    """Every ``[a, b]`` in a document as a span in order."""
-    clues = F.regexp_extract_all("text", F.lit(r"\[\d+(?:\.\d+)?, \d+(?:\.\d+)?\]"), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(clues).alias("c")).select("doc_id", F.explode(iv.swap(tx.number_pairs(F.col("c")))).alias("p"))
-    return rows.select("doc_id", F.col("p.start").alias("start_s"), F.col("p.end").alias("end_s"))
-
-
 @R.add("fn_tvg_format")
 def fn_tvg_format(spark, sf_dir):
     """Spans in whole documents by the first reading that gives any."""
@@ -53,27 +44,6 @@ def fn_extract_time_part(spark, sf_dir):
     return rows.select("doc_id", "i", F.col("p.start").alias("start_s"), F.col("p.end").alias("end_s"))
 
 
-@R.add("fn_dvc_format", r"""WITH l AS (SELECT doc_id, unnest(range(len(s))) AS i, s FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)), m AS (SELECT doc_id, i, regexp_extract(s[i + 1], '^\[(\d+):(\d\d)\] (.+)$', ['m', 's', 'c']) AS g FROM l)
-SELECT doc_id, i, CAST(g.m AS BIGINT) * 60 + CAST(g.s AS BIGINT) AS at_s, g.c AS caption FROM m WHERE g.m <> '' AND length(g.c) > 5""")
-def fn_dvc_format(spark, sf_dir):
-    """Time-stamped captions: lines ``[mm:ss] text`` with a text of more than five characters."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    part = lambda k: F.regexp_extract("line", r"^\[(\d+):(\d\d)\] (.+)$", k)
-    rows = lines.select("doc_id", F.col("i").cast("bigint").alias("i"), part(1).alias("m"), part(2).alias("s"), part(3).alias("caption")).where("m <> '' AND length(caption) > 5")
-    return rows.select("doc_id", "i", (F.col("m").cast("bigint") * 60 + F.col("s").cast("bigint")).alias("at_s"), "caption")
-
-
-@R.add("scan_srt", r"""WITH l AS (SELECT doc_id, unnest(range(len(s))) AS i, s FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE source = 'subtitle')), m AS (SELECT doc_id, i, regexp_extract(s[i + 1], '^\[(\d+):(\d\d)\] (.+)$', ['m', 's', 'c']) AS g FROM l),
-c AS (SELECT doc_id, i, (CAST(g.m AS BIGINT) * 60 + CAST(g.s AS BIGINT)) * 1000 AS start_ms, g.c AS text FROM m WHERE g.m <> '') SELECT doc_id, start_ms, lead(start_ms) OVER (PARTITION BY doc_id ORDER BY i) AS end_ms, text FROM c""")
-def scan_srt(spark, sf_dir):
-    """Subtitles of each document: a caption ends where the next begins; within the document's array, nothing is shuffled."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\[\d+:\d\d\] ."))
-    start = lambda x: (F.regexp_extract(x, r"^\[(\d+):(\d\d)\]", 1).cast("bigint") * 60 + F.regexp_extract(x, r"^\[(\d+):(\d\d)\]", 2).cast("bigint")) * 1000
-    rows = table(spark, sf_dir, "documents").where("source = 'subtitle'").select("doc_id", lines.alias("l"))
-    made = F.transform("l", lambda x, i: F.struct(start(x).alias("start_ms"), start(F.get("l", i + 1)).alias("end_ms"), F.regexp_extract(x, r"^\[\d+:\d\d\] (.+)$", 1).alias("text")))
-    return rows.select("doc_id", F.explode(made).alias("c")).select("doc_id", "c.start_ms", "c.end_ms", "c.text")
-
-
 @R.add("fn_ms_to_s", "SELECT event_id, event_id / 1000.0 AS seconds FROM events")
 def fn_ms_to_s(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") / 1000.0).cast("double").alias("seconds"))
@@ -89,22 +59,6 @@ def fn_parse_ts(spark, sf_dir):
     return rows.select("row_id", F.floor(F.col("a").cast("double") / 60).cast("bigint").alias("clip"), F.col("b").cast("double").alias("end_s"))
 
 
-@R.add("fn_post_process_cg", r"""WITH t AS (SELECT row_id, answer, regexp_extract_all(model_response, '\b[A-H]\b') AS m FROM eval_result WHERE model_response IS NOT NULL) SELECT row_id, CASE WHEN len(m) = 0 THEN NULL WHEN list_contains(m, answer) THEN 1 ELSE 0 END AS result FROM t""")
-def fn_post_process_cg(spark, sf_dir):
-    """1 or 0 by whether any lone letter of the raw reply is the answer; null without one."""
-    m = F.regexp_extract_all("model_response", F.lit(r"\b[A-H]\b"), F.lit(0))
-    rows = replies(spark, sf_dir).where("model_response IS NOT NULL").select("row_id", m.alias("m"), "answer")
-    return rows.select("row_id", F.when(F.size("m") == 0, None).when(F.array_contains("m", F.col("answer")), 1).otherwise(0).alias("result"))
-
-
-@R.add("fn_call_payload", r"""WITH t AS (SELECT row_id, array_to_string(list_transform(sampled_seconds, lambda t: 'Frame at ' || CAST(CAST(floor(t) AS BIGINT) AS VARCHAR) || 's:'), '|') AS frames FROM eval_result WHERE sampled_seconds IS NOT NULL) SELECT row_id, frames, 0 AS temperature, 512 AS max_tokens FROM t""")
-def fn_call_payload(spark, sf_dir):
-    """The frames of a request in order, with its fixed settings."""
-    t = table(spark, sf_dir, "eval_result").where("sampled_seconds IS NOT NULL")
-    frames = F.array_join(F.transform("sampled_seconds", lambda t: F.concat(F.lit("Frame at "), F.floor(t).cast("bigint").cast("string"), F.lit("s:"))), "|")
-    return t.select("row_id", frames.alias("frames"), F.lit(0).alias("temperature"), F.lit(512).alias("max_tokens"))
-
-
 @R.add("fn_fmt_g", "SELECT * FROM (VALUES (1, '0'), (2, '12.5'), (3, '1e+06'), (4, '0.0001'), (5, '1e-05'), (6, '123457'), (7, '100'), (8, '1.5'), (9, '-2.25'), (10, '1.23457e+08')) t(i, text)")
 def fn_fmt_g(spark, sf_dir):
     """Short numbers over the cases that matter."""

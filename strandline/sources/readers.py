@@ -66,6 +66,30 @@ def json_or_jsonl(spark: SparkSession, path: str, schema: str, holders: tuple[st
     return text.select(F.explode(F.coalesce(*lists, F.array(F.from_json("value", schema)))).alias("r")).select("r.*")
 
 
+def template_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(field) of the first record of a JSON array that is not empty."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<map<string, string>>").alias("a"))
+    keys = text.select(F.explode(F.map_keys(F.get("a", F.lit(0)))).alias("field"))
+    if keys.limit(1).count() == 0:
+        raise BadSource(f"{path}: the template has no record")
+    return keys
+
+
+def key_differences(records: DataFrame, text: str, want: list[str]) -> DataFrame:
+    """(field, kind, n_records): keys of ``want`` that records lack (``missing``) and keys beyond them (``extra``)."""
+    keys = F.json_object_keys(text)
+    known = F.array(*map(F.lit, want)).cast("array<string>")
+    both = F.concat(F.transform(F.array_except(known, keys), lambda k: F.struct(k.alias("field"), F.lit("missing").alias("kind"))), F.transform(F.array_except(keys, known), lambda k: F.struct(k.alias("field"), F.lit("extra").alias("kind"))))
+    return records.select(F.explode(both).alias("d")).groupBy("d.field", "d.kind").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def validate_keys(records: DataFrame, text: str, want: list[str]) -> None:
+    """Every record must have exactly the keys of ``want``; no records pass."""
+    wrong = key_differences(records, text, want).orderBy("kind", "field").limit(20).collect()  # the message's head
+    if wrong:
+        raise BadSource("; ".join(f"{r.kind} {r.field} in {r.n_records} records" for r in wrong))
+
+
 def csv_required(spark: SparkSession, path: str, required: list[str], **options: str) -> DataFrame:
     """A delimited file with a header that has at least the required columns, all as text."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').options(**options).csv(path)

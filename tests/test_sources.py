@@ -95,3 +95,35 @@ def test_work_log_does_each_task_once(spark, tmp_path):
         tasks = flows.table_stream(spark, str(tmp_path), "t", "k int")
         flows.work_log(tasks, ["k"], str(tmp_path / "log"), str(tmp_path / f"s{run}"), lambda t: t.withColumn("done", F.lit(True))).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 2]
+
+
+def test_keys_are_validated_against_a_template(spark):
+    import pytest
+
+    from strandline.sources import readers
+
+    rows = spark.createDataFrame([('{"a": 1, "b": null}',), ('{"b": 2, "c": 3}',)], "t string")
+    got = {(r.field, r.kind): r.n_records for r in readers.key_differences(rows, "t", ["a", "b"]).collect()}
+    assert got == {("a", "missing"): 1, ("c", "extra"): 1}
+    with pytest.raises(readers.BadSource, match="extra c in 1 records; missing a in 1 records"):
+        readers.validate_keys(rows, "t", ["a", "b"])
+    readers.validate_keys(rows.limit(0), "t", ["a", "b"])
+    readers.validate_keys(rows.limit(1), "t", ["b", "a"])
+
+
+def test_a_long_array_is_one_file_in_order(spark):
+    from strandline.session import fresh_dir
+    from strandline.sources import readers, writers
+
+    path = fresh_dir(spark, "array")
+    writers.json_array(spark.range(5000).selectExpr("id", "'é' AS t").repartition(7), path, ["id"])
+    assert [r.id for r in readers.json_array(spark, path, "id bigint, t string").collect()] == list(range(5000))
+    empty = fresh_dir(spark, "array")
+    writers.json_array(spark.range(0), empty, ["id"])
+    assert readers.json_array(spark, empty, "id bigint").collect() == []
+
+
+def test_failing_calls_are_tried_again():
+    from strandline.operators.runner import delay
+
+    assert [delay(k) for k in range(1, 7)] == [2, 4, 8, 16, 30, 30]
