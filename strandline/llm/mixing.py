@@ -234,3 +234,26 @@ def mix(sizes: DataFrame, key: str, source: str, tokens: str, mixes: DataFrame,
         F.try_divide(F.col("reached_tokens").cast("double"), F.col("whole")).alias("share_of_wanted_size"), "wanted_tokens", "reached_tokens", "supply_tokens", "max_repeats", "n_uses", "most_uses", "limited_by",
     )
     return chosen.withColumnRenamed("key", key), shares
+
+
+def violations(chosen: DataFrame, sizes: DataFrame, key: str, source: str, tokens: str, mixes: DataFrame) -> DataFrame:
+    """One row per mix and source of ``mixes`` (mix_id, source, over_cap, repeated_use, wrong_source, off_target): documents used more often
+    than allowed, uses counted twice, uses under another source than the document's, and whether the source's tokens differ
+    from its target, or from all that its cap allows, by a document or more. All are 0 for every mix; keys must be unique."""
+    n = F.greatest(F.coalesce(F.col(tokens), F.lit(0)).cast("bigint"), F.lit(0))
+    docs = sizes.select(F.col(key), F.col(source).alias("own"), n.alias("n"))
+    per = docs.where("own IS NOT NULL").groupBy(F.col("own").alias("source")).agg(F.sum("n").alias("supply"), F.max("n").alias("longest"))
+    total = F.broadcast(docs.agg(F.sum("n").alias("everything")))  # one row
+    weight = F.when((F.col("target_weight") > 0) & (F.col("target_weight") < float("inf")), F.col("target_weight")).otherwise(0.0)
+    want = mixes.where("mix_id IS NOT NULL AND source IS NOT NULL").groupBy("mix_id", "source").agg(F.sum(weight).alias("w"), F.min("max_repeats").alias("cap"), F.max("size_share").alias("size_share"))
+    whole = want.groupBy("mix_id").agg(F.sum("w").alias("weights"), F.max("size_share").alias("share"))
+    want = F.broadcast(want.drop("size_share").join(whole, "mix_id"))  # a configuration table
+    uses = chosen.groupBy("mix_id", "source", key).agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("repeat_no").alias("different"), F.sum("tokens").alias("reached"))
+    uses = uses.join(docs, key, "left").join(want.select("mix_id", "source", "cap"), ["mix_id", "source"], "left").groupBy("mix_id", "source").agg(
+        F.count_if(F.col("uses") > F.col("cap")).alias("over_cap"), F.count_if(F.col("uses") != F.col("different")).alias("repeated_use"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("wrong_source"), F.sum("reached").alias("reached")
+    )
+    both = want.join(per, "source", "left").crossJoin(total).join(uses, ["mix_id", "source"], "left").fillna(0, ["supply", "longest", "over_cap", "repeated_use", "wrong_source", "reached"])
+    goal = F.coalesce(F.try_divide(F.col("everything") * F.col("share") * F.col("w"), F.col("weights")), F.lit(0.0))
+    most = F.when(F.col("cap").isNotNull(), F.col("supply") * F.greatest(F.col("cap"), F.lit(0))).when(F.col("supply") == 0, F.lit(0))
+    off = F.abs(F.col("reached") - F.least(goal, most)) > F.col("longest") + 1
+    return both.select("mix_id", "source", "over_cap", "repeated_use", "wrong_source", off.cast("int").alias("off_target"))

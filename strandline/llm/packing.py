@@ -2,16 +2,16 @@
 
 Only the histogram of lengths, at most one entry per token of capacity, reaches the driver. There patterns of few
 lengths that fill a container are enumerated on a grid, their repeat counts are fitted to the histogram by non-negative
-least squares, rounded to what the histogram holds, and the lengths left over are packed best-fit, longest first, by
-classes of equal containers. The plan is as large as the capacity allows, whatever the number of texts. The texts are
+least squares and rounded to what the histogram holds; where few texts do not fill a container, patterns of many are
+drawn and fitted likewise. The lengths left over are packed best-fit, longest first, by classes of equal containers. The plan is as large as the capacity allows, whatever the number of texts. The texts are
 then ranked within their length by one global sort, and rank and plan give container, place and offset.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import defaultdict
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.ordered_scan import range_sorted, rescan, summarise
-from strandline.session import cut
 
 GRID = 192
 DEPTH = 3
+#: Long patterns: growth of the classes of lengths, most patterns of one round, and the share of each class that stays out.
+STEP, DRAWN, SPARE = 1.02, 192, 0.1
+#: The share of the texts that is left for the room within patterns.
+REST = 0.1
 
 
 def enumerate_patterns(present: np.ndarray, cells: int, slack: int) -> np.ndarray:
@@ -46,31 +49,17 @@ def enumerate_patterns(present: np.ndarray, cells: int, slack: int) -> np.ndarra
     return np.concatenate(out)
 
 
-def least_squares(patterns: np.ndarray, want: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that brings the counts of the patterns close to ``want``: accelerated projected gradient."""
-    n, size = len(patterns), len(want)
+def least_squares(counts: Callable[[np.ndarray], np.ndarray], back: Callable[[np.ndarray], np.ndarray], n: int, want: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """x >= 0 of length ``n`` that brings ``counts(x)`` close to ``want``: accelerated projected gradient; ``back`` is the transpose of ``counts``."""
     if not n:
         return np.zeros(0)
-    flat = patterns.ravel()
-
-    def counts(x: np.ndarray) -> np.ndarray:
-        c = np.bincount(flat, weights=np.repeat(x, patterns.shape[1]), minlength=size)
-        c[0] = 0
-        return c
-
-    def back(r: np.ndarray) -> np.ndarray:
-        r = r.copy()
-        r[0] = 0
-        return r[patterns].sum(axis=1)
-
-    v = np.ones(n)
+    v, top = np.ones(n), 1.0
     for _ in range(20):  # largest eigenvalue by power iteration
         v = back(counts(v))
-        top = np.linalg.norm(v)
+        top = float(np.linalg.norm(v)) or 1.0
         v /= top
     scale = max(float(want.max()), 1.0)
     goal = want / scale
-    goal[0] = 0
     x = z = np.zeros(n)
     t = 1.0
     for _ in range(rounds):
@@ -81,54 +70,135 @@ def least_squares(patterns: np.ndarray, want: np.ndarray, rounds: int = 400) ->
     return x * scale
 
 
-def fit_patterns(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
-    """([(lengths, repeats)], lengths left over). A length takes the grid cells it needs, so a pattern always fits."""
-    width = -(-capacity // GRID)
-    cells = capacity // width
-    by_cell: dict[int, list[int]] = defaultdict(list)
-    for length in sorted(counts):
-        if length > 0 and -(-length // width) <= cells:
-            by_cell[-(-length // width)].append(length)  # ascending: pop() gives the longest
-    left = dict(counts)
-    want = np.zeros(cells + 1)
-    for cell, lengths in by_cell.items():
-        want[cell] = sum(counts[x] for x in lengths)
-    patterns = enumerate_patterns(np.array(sorted(by_cell), dtype=np.int64), cells, 1)
-    repeats = least_squares(patterns, want)
-    made: list[tuple[tuple[int, ...], int]] = []
-    free = want.astype(np.int64)
-    for p in np.argsort(-repeats, kind="stable"):
-        cell_counts: dict[int, int] = defaultdict(int)
-        for cell in patterns[p]:
-            if cell:
-                cell_counts[int(cell)] += 1
-        k = min(round(float(repeats[p])), *(int(free[c]) // m for c, m in cell_counts.items()))
-        if repeats[p] < 0.5:
-            break
+class Stock:
+    """The lengths left, by class; a class may be asked for any of its lengths and gives the longest."""
+
+    def __init__(self, left: dict[int, int], classes: dict[int, list[int]]) -> None:
+        self.left, self.classes = left, {c: sorted(x) for c, x in classes.items()}
+        self.free = {c: sum(left[x] for x in lengths) for c, lengths in classes.items()}
+
+    def take(self, pattern: dict[int, int], times: int) -> list[tuple[tuple[int, ...], int]]:
+        """[(lengths, repeats)] of up to ``times`` containers with so many of each class, as far as the stock goes."""
+        made, k = [], min(times, *(self.free.get(c, 0) // m for c, m in pattern.items()))
         while k > 0:
             lengths, run = [], k
-            for cell, m in cell_counts.items():
-                while not left[by_cell[cell][-1]]:
-                    by_cell[cell].pop()
-                have = left[by_cell[cell][-1]]
+            for c, m in pattern.items():
+                mine = self.classes[c]
+                while not self.left[mine[-1]]:
+                    mine.pop()
+                have = self.left[mine[-1]]
                 if have >= m:
-                    lengths += [by_cell[cell][-1]] * m
+                    lengths += [mine[-1]] * m
                     run = min(run, have // m)
-                else:  # the longest length of the cell runs out within one container
+                else:  # the longest length of the class runs out within one container
                     run, need = 1, m
-                    for x in reversed(by_cell[cell]):
-                        take = min(need, left[x])
-                        lengths += [x] * take
-                        need -= take
+                    for x in reversed(mine):
+                        some = min(need, self.left[x])
+                        lengths += [x] * some
+                        need -= some
                         if not need:
                             break
             for x in lengths:
-                left[x] -= run
-            for cell, m in cell_counts.items():
-                free[cell] -= m * run
+                self.left[x] -= run
+            for c, m in pattern.items():
+                self.free[c] -= m * run
             made.append((tuple(sorted(lengths, reverse=True)), run))
             k -= run
-    return made, {x: n for x, n in left.items() if n and x > 0}
+        return made
+
+
+def _round(stock: Stock, patterns: list[dict[int, int]], repeats: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns as often as their rounded repeats say, the frequent ones first."""
+    made: list[tuple[tuple[int, ...], int]] = []
+    for p in np.argsort(-repeats, kind="stable"):
+        if repeats[p] < 0.5:
+            break
+        made += stock.take(patterns[p], round(float(repeats[p])))
+    return made
+
+
+def _short(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of up to ``DEPTH`` texts. A length takes the grid cells it needs, so a pattern always fits."""
+    width = -(-capacity // GRID)
+    cells = capacity // width
+    classes: dict[int, list[int]] = defaultdict(list)
+    for length in left:
+        if length > 0 and -(-length // width) <= cells:
+            classes[-(-length // width)].append(length)
+    stock = Stock(left, classes)
+    want = np.zeros(cells + 1)
+    for cell, n in stock.free.items():
+        want[cell] = n
+    rows = enumerate_patterns(np.array(sorted(classes), dtype=np.int64), cells, 1)
+    flat = rows.ravel()
+
+    def counts(x: np.ndarray) -> np.ndarray:
+        c = np.bincount(flat, weights=np.repeat(x, DEPTH), minlength=cells + 1)
+        c[0] = 0
+        return c
+
+    def back(r: np.ndarray) -> np.ndarray:
+        r = np.concatenate([[0.0], r[1:]])
+        return r[rows].sum(axis=1)
+
+    repeats = least_squares(counts, back, len(rows), want)
+    some = np.where(repeats >= 0.5)[0]
+    return _round(stock, [dict(Counter(c for c in row.tolist() if c)) for row in rows[some]], repeats[some])
+
+
+def _long(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of many texts, for capacities that few of them do not fill.
+
+    Lengths fall into classes of ``STEP`` times the length, each as long as its longest. Patterns are drawn from the
+    histogram of the classes by an even sequence and filled up with the longest that fit; their repeats are fitted like
+    those of the short ones. A share of ``SPARE`` of every class stays out, for the room that the classes leave.
+    """
+    tops = [1]
+    while tops[-1] < capacity:
+        tops.append(min(capacity, max(tops[-1] + 1, int(tops[-1] * STEP))))
+    classes: dict[int, list[int]] = defaultdict(list)
+    for length, n in left.items():
+        if n and 0 < length <= capacity:
+            classes[bisect_left(tops, length)].append(length)
+    stock = Stock(left, classes)
+    stock.free = {c: int(n * (1 - SPARE)) for c, n in stock.free.items()}
+    present = [c for c in sorted(classes) if stock.free[c] > 0]
+    want = np.array([stock.free[c] for c in present], dtype=float)
+    boxes = int(sum(n * x for x, n in left.items()) // capacity)
+    if not present or boxes < 1:
+        return []
+    size, upto = [tops[c] for c in present], np.cumsum(want) / want.sum()
+    drawn: list[dict[int, int]] = []
+    for t in range(min(DRAWN, max(16, boxes // 4))):
+        room, mine, at = capacity, Counter(), ((t + 1) * 0.7548776662466927) % 1.0
+        while room >= size[0]:
+            at = (at + 0.6180339887498949) % 1.0
+            pick = min(int(np.searchsorted(upto, at, side="right")), len(present) - 1)
+            if size[pick] > room:
+                pick = bisect_right(size, room) - 1
+            mine[present[pick]] += 1
+            room -= size[pick]
+        drawn.append(dict(mine))
+    index = {c: i for i, c in enumerate(present)}
+    matrix = np.zeros((len(drawn), len(present)))
+    for t, mine in enumerate(drawn):
+        for c, m in mine.items():
+            matrix[t, index[c]] = m
+    repeats = least_squares(lambda x: matrix.T @ x, lambda r: matrix @ r, len(drawn), want)
+    return _round(stock, drawn, repeats)
+
+
+def fit_patterns(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """([(lengths, repeats)], lengths left over): short patterns first, then long ones on what these leave, as long as they
+    place a tenth of it and more than ``REST`` of all is left, which goes into the room within the patterns."""
+    left = {x: n for x, n in counts.items() if n and x > 0}
+    total = sum(left.values())
+    made = _short(left, capacity)
+    while (before := sum(left.values())) > REST * total:
+        made += _long(left, capacity)
+        if sum(left.values()) > 0.9 * before:
+            break
+    return made, {x: n for x, n in left.items() if n}
 
 
 @dataclass
@@ -320,6 +390,43 @@ def pack(sizes: DataFrame, key: str, tokens: str, plans: DataFrame) -> DataFrame
     return placed.withColumnRenamed("key", key)
 
 
+def violations(placed: DataFrame, sizes: DataFrame, key: str, tokens: str, plans: DataFrame) -> DataFrame:
+    """One row per plan (plan_id, n_texts, split, wrong_size, over_capacity, gaps): texts placed, texts split although they
+    fit, texts whose pieces do not add up to them, containers with more than the capacity, and containers whose pieces do
+    not lie end to end from 0. The last four are 0 for every packing; keys must be unique."""
+    room = F.broadcast(plans.select("plan_id", "capacity_tokens").where("capacity_tokens > 0"))  # a configuration table
+    n = F.greatest(F.coalesce(F.col(tokens), F.lit(0)).cast("bigint"), F.lit(0))
+    per = placed.groupBy("plan_id", key).agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("placed"))
+    per = per.join(sizes.select(F.col(key), n.alias("wanted")), key).join(room, "plan_id").groupBy("plan_id").agg(
+        F.count(F.lit(1)).alias("n_texts"), F.count_if((F.col("pieces") > 1) & (F.col("wanted") <= F.col("capacity_tokens"))).alias("split"), F.count_if(F.col("placed") != F.col("wanted")).alias("wrong_size")
+    )
+    # sums over places tell a tiling: distinct places 0 .. n - 1, and every piece begins where those before it end
+    boxes = placed.groupBy("plan_id", "container_id").agg(
+        F.sum("tokens").alias("used"), F.max(F.col("offset") + F.col("tokens")).alias("end"), F.min("offset").alias("start"), F.count(F.lit(1)).alias("n"), (F.max("place") + 1).alias("places"),
+        F.sum(F.col("tokens") * (2 * F.col("offset") + F.col("tokens"))).alias("area"),
+    )
+    whole = (F.col("used") == F.col("end")) & (F.col("start") == 0) & (F.col("n") == F.col("places")) & (F.col("area") == F.col("used") * F.col("used"))
+    boxes = boxes.join(room, "plan_id").groupBy("plan_id").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("over_capacity"), F.count_if(~whole).alias("gaps"))
+    return per.join(boxes, "plan_id")
+
+
+def pattern_report(sizes: DataFrame, key: str, tokens: str, plans: DataFrame) -> DataFrame:
+    """(plan_id, n_pieces, in_patterns, share): pieces of texts, and those that the fitted patterns place; the rest are residuals."""
+    chosen = {r.plan_id: int(r.capacity_tokens) for r in plans.select("plan_id", "capacity_tokens").collect() if r.capacity_tokens and r.capacity_tokens > 0}
+    n = F.greatest(F.coalesce(F.col(tokens), F.lit(0)).cast("bigint"), F.lit(0))
+    rows = []
+    for plan, capacity in sorted(chosen.items()):
+        counts: dict[int, int] = defaultdict(int)
+        whole = sizes.groupBy(F.least(n, F.lit(capacity)).alias("n"), (n / capacity).cast("bigint").alias("full"), (n % capacity).alias("rest")).count()
+        per_length = whole.select("count", F.explode(F.when(F.col("full") > 0, F.array(F.struct(F.lit(capacity).cast("bigint").alias("x"), F.col("full").alias("k")), F.struct(F.col("rest").alias("x"), F.lit(1).cast("bigint").alias("k")))).otherwise(F.array(F.struct(F.col("rest").alias("x"), F.lit(1).cast("bigint").alias("k"))))).alias("p"))
+        for r in per_length.where("p.x > 0").groupBy("p.x").agg(F.sum(F.col("count") * F.col("p.k")).alias("m")).collect():  # at most capacity rows
+            counts[r.x] += r.m
+        made, _ = fit_patterns(dict(counts), capacity)
+        inside = sum(len(lengths) * k for lengths, k in made)
+        rows.append((plan, sum(counts.values()), inside, inside / sum(counts.values()) if counts else None))
+    return sizes.sparkSession.createDataFrame(rows, "plan_id string, n_pieces bigint, in_patterns bigint, share double")
+
+
 def fill(placed: DataFrame, plans: DataFrame) -> DataFrame:
     """(plan_id, container_id, capacity_tokens, n_items, used_tokens, fill) of every container."""
     used = placed.groupBy("plan_id", "container_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("tokens").alias("used_tokens"))
@@ -328,4 +435,4 @@ def fill(placed: DataFrame, plans: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["pack", "fill", "pack_histogram", "slots", "place", "cut"]
+__all__ = ["pack", "fill", "violations", "pattern_report", "pack_histogram", "slots", "place"]
