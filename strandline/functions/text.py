@@ -107,6 +107,18 @@ def boolean_word(c: Column) -> Column:
     return F.when(w.isin("yes", "true", "t", "y", "1"), True).when(w.isin("no", "false", "f", "n", "0"), False)
 
 
+def strict_boolean(c: Column) -> Column:
+    """As :func:`boolean_word`; any other word, but not null, is an error."""
+    return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(boolean_word(c), F.raise_error(F.concat(F.lit("not a boolean: "), c)).cast("boolean")))
+
+
+def level_list(c: Column) -> Column:
+    """The numbers of a comma list; blanks are skipped, a list without any and a word that is no number are errors."""
+    parts = F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    numbers = F.transform(parts, lambda x: F.coalesce(x.try_cast("double"), F.raise_error(F.concat(F.lit("not a number: "), x)).cast("double")))
+    return F.when(c.isNull(), F.lit(None).cast("array<double>")).when(F.size(parts) == 0, F.raise_error(F.lit("no levels")).cast("array<double>")).otherwise(numbers)
+
+
 def frame_rate(c: Column) -> Column:
     """``30000/1001`` or ``29.97``; null where it is neither or divides by 0."""
     top, bottom = F.split_part(c, F.lit("/"), F.lit(1)).try_cast("double"), F.split_part(c, F.lit("/"), F.lit(2)).try_cast("double")

@@ -102,10 +102,10 @@ def attention_segments(df: DataFrame, att: str, times: str, out: str, reach: flo
 
 
 def best_clip(att: Column, times: Column, width: int = 4) -> Column:
-    """The clip of ``width`` scores with the greatest mean, the first on ties."""
+    """The clip of ``width`` scores with the greatest mean, the first on ties; the first of all where no mean is above 0."""
     clips = F.sequence(F.lit(0), F.floor((F.size(att) - 1) / width).cast("int"))
     means = F.transform(clips, lambda i: F.aggregate(F.slice(att, i * width + 1, F.lit(width)), F.lit(0.0), lambda s, x: s + x) / width)
-    first = (F.array_position(means, F.array_max(means)).cast("int") - 1) * width
+    first = F.when(F.array_max(means) > 0, F.array_position(means, F.array_max(means)).cast("int") - 1).otherwise(0) * width
     return span(F.get(times, first), F.get(times, F.least(first + width, F.size(times)) - 1))
 
 

@@ -129,7 +129,8 @@ def iv_longest(spark, sf_dir):
     return rows.select("row_id", F.col("m.start").alias("start_s"), F.col("m.end").alias("end_s"))
 
 
-@R.add("iv_vote")
+@R.add("iv_vote", f"""WITH {ANCHORS_SQL}, v AS (SELECT row_id, gold, list_transform(gold, lambda x: list_sum(list_transform(gold, lambda y: greatest(0.0::DOUBLE, (least(x."end", y."end") - greatest(x.start, y.start) + 1e-10) / (greatest(x."end", y."end") - least(x.start, y.start) + 1e-10))))) AS votes FROM anchors WHERE len(gold) > 0),
+b AS (SELECT row_id, gold[list_position(votes, list_max(votes))] AS m FROM v) SELECT row_id, m.start AS start_s, m."end" AS end_s FROM b""")
 def iv_vote(spark, sf_dir):
     """The interval of a row with the greatest summed IoU to all of them."""
     rows = anchors(spark, sf_dir).select("row_id", iv.vote(F.col("gold")).alias("m")).where("m IS NOT NULL")
@@ -159,7 +160,7 @@ def iv_answer_text(spark, sf_dir):
     return anchors(spark, sf_dir).where("size(gold) > 0").select("row_id", iv.answer_text(F.col("gold")).alias("text"))
 
 
-@R.add("iv_enable_expr")
+@R.add("iv_enable_expr", f"WITH {merged_sql(True, False, True)} SELECT row_id, string_agg('between(t,' || format('{{:g}}', start_s) || ',' || format('{{:g}}', end_s) || ')', '+' ORDER BY start_s) AS expr FROM merged GROUP BY row_id")
 def iv_enable_expr(spark, sf_dir):
     """``between(t,s,e)+...`` over the merged spans, numbers in short form."""
     rows = anchors(spark, sf_dir).select("row_id", iv.normalize(F.col("gold"), keep_empty=True).alias("m")).where("size(m) > 0")

@@ -240,25 +240,35 @@ def proj_frame_router(spark, sf_dir):
 # versions of a record
 
 
-VERSION_SQL = f"""WITH {ANCHORS_SQL}, o AS (SELECT *, question || '|' || coalesce(answer, '') || '|' || coalesce(array_to_string(choices, ';'), '') AS body, row_number() OVER w AS p FROM anchors WINDOW w AS (PARTITION BY video_id, qid ORDER BY loaded_at, row_id)),
+def version_sql(*more: str) -> str:
+    body = "question || '|' || coalesce(answer, '') || '|' || coalesce(array_to_string(choices, ';'), '')" + "".join(f" || '|' || coalesce(CAST({c} AS VARCHAR), '')" for c in more)
+    return f"""WITH {ANCHORS_SQL}, o AS (SELECT *, {body} AS body, row_number() OVER w AS p FROM anchors WINDOW w AS (PARTITION BY video_id, qid ORDER BY loaded_at, row_id)),
 c AS (SELECT *, lag(body) OVER (PARTITION BY video_id, qid ORDER BY p) AS before FROM o)"""
 
 
-@R.add("sink_upsert_versioned", f"{VERSION_SQL} SELECT video_id, qid, sum(CASE WHEN p > 1 AND body IS DISTINCT FROM before THEN 1 ELSE 0 END)::BIGINT AS version, count(*) AS loads FROM c GROUP BY ALL")
-def sink_upsert_versioned(spark, sf_dir):
-    """Version of each record after all loads: it rises where question, answer or options differ from the load before."""
-    body = F.concat_ws("|", "question", F.coalesce("answer", F.lit("")), F.coalesce(F.array_join("choices", ";"), F.lit("")))
-    rows = anchors(spark, sf_dir).withColumn("body", F.when(F.col("question").isNotNull(), body))
+VERSION_SQL = version_sql()
+
+
+def versions(rows: DataFrame, *more: str) -> DataFrame:
+    """(video_id, qid, version, loads): the version rises where question, answer, options or one of ``more`` differs from the load before."""
+    body = F.concat_ws("|", "question", F.coalesce("answer", F.lit("")), F.coalesce(F.array_join("choices", ";"), F.lit("")), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in more])
+    rows = rows.withColumn("body", F.when(F.col("question").isNotNull(), body))
     w = Window.partitionBy("video_id", "qid").orderBy("loaded_at", "row_id")
     rows = rows.select("video_id", "qid", ((F.row_number().over(w) > 1) & ~F.col("body").eqNullSafe(F.lag("body").over(w))).alias("changed"))
     return rows.groupBy("video_id", "qid").agg(F.count_if("changed").alias("version"), F.count(F.lit(1)).alias("loads"))
 
 
-@R.add("filt_needs_eval", f"{VERSION_SQL}, v AS (SELECT video_id, qid, sum(CASE WHEN p > 1 AND body IS DISTINCT FROM before THEN 1 ELSE 0 END)::BIGINT AS version FROM c GROUP BY ALL), r AS (SELECT DISTINCT {VIDEO_SQL.format('video_id')} AS video_id, {QID_SQL.format('qid')} AS qid FROM eval_result) SELECT v.video_id, v.qid FROM v LEFT JOIN r ON r.video_id = v.video_id AND r.qid = v.qid WHERE r.video_id IS NULL OR version <> 0")
+@R.add("sink_upsert_versioned", f"{VERSION_SQL} SELECT video_id, qid, sum(CASE WHEN p > 1 AND body IS DISTINCT FROM before THEN 1 ELSE 0 END)::BIGINT AS version, count(*) AS loads FROM c GROUP BY ALL")
+def sink_upsert_versioned(spark, sf_dir):
+    """Version of each record after all loads: it rises where question, answer or options differ from the load before."""
+    return versions(anchors(spark, sf_dir))
+
+
+@R.add("filt_needs_eval", f"{version_sql('evidence_count')}, v AS (SELECT video_id, qid, sum(CASE WHEN p > 1 AND body IS DISTINCT FROM before THEN 1 ELSE 0 END)::BIGINT AS version FROM c GROUP BY ALL), r AS (SELECT DISTINCT {VIDEO_SQL.format('video_id')} AS video_id, {QID_SQL.format('qid')} AS qid FROM eval_result) SELECT v.video_id, v.qid FROM v LEFT JOIN r ON r.video_id = v.video_id AND r.qid = v.qid WHERE r.video_id IS NULL OR version <> 0")
 def filt_needs_eval(spark, sf_dir):
-    """Records without a result, or whose version is not that of the result (0)."""
+    """Records without a result, or whose version, to which further evidence counts, is not that of the result (0)."""
     done = responses(spark, sf_dir).select("video_id", "qid", F.lit(True).alias("d")).distinct()
-    return sink_upsert_versioned(spark, sf_dir).join(done, ["video_id", "qid"], "left").where("d IS NULL OR version <> 0").select("video_id", "qid")
+    return versions(anchors(spark, sf_dir), "evidence_count").join(done, ["video_id", "qid"], "left").where("d IS NULL OR version <> 0").select("video_id", "qid")
 
 
 @R.add("sink_result_merge", f"WITH {RESPONSES_SQL} SELECT video_id, qid, count(DISTINCT run_id) AS n_runs, arg_max(v->>'$.label', row_id) AS last_label FROM responses WHERE v->>'$.label' IS NOT NULL GROUP BY ALL")
@@ -285,14 +295,6 @@ def agg_open_acc(spark, sf_dir):
     return responses(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count(a).alias("judged"), F.count_if(a == F.col("answer")).alias("correct"))
 
 
-@R.add("agg_rvq", f"WITH {HITS_SQL}, j AS (SELECT task, answer, pred_answer, regexp_extract(upper(trim(pred_answer)), '^\\(?([A-H])\\)?', 1) AS letter FROM hit) SELECT task, count(*) AS n, round(avg(CASE WHEN letter = answer THEN 1.0 ELSE 0 END), 9) AS acc, count(*) FILTER (coalesce(letter, '') = '') AS failed FROM j GROUP BY ALL")
-def agg_rvq(spark, sf_dir):
-    """Accuracy by the leading letter of the reply's answer; replies without a letter failed."""
-    letter = F.regexp_extract(F.upper(F.trim(rp.field(F.col("v"), "answer"))), r"^\(?([A-H])\)?", 1)
-    rows = responses(spark, sf_dir).select("task", F.coalesce(letter == F.col("answer"), F.lit(False)).alias("ok"), (F.coalesce(letter, F.lit("")) == "").alias("failed"))
-    return rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("ok").cast("double")), 9).alias("acc"), F.count_if("failed").alias("failed"))
-
-
 def judged_choices(rows: DataFrame, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``rows`` (reply, choices, answer as a letter) with ``ok`` and ``failed``.
 
@@ -321,8 +323,12 @@ def judged_choices(rows: DataFrame, similarity: Callable[[Column, Column], Colum
     return rows.withColumns({"ok": ok, "failed": failed}).drop("_marked", "_leading", "_matched", "_bare", "_gold", "_sims")
 
 
-@R.add("agg_rvq_all")
-def agg_rvq_all(spark, sf_dir, similarity=None):
+@R.add("agg_rvq", f"""WITH {HITS_SQL}, r AS (SELECT task, coalesce(pred_answer, model_response, '') AS reply, coalesce(len(choices), 0) AS size, ord(upper(answer)) - 65 AS gold FROM hit),
+b AS (SELECT *, regexp_extract(reply, '\\(([A-Za-z])\\)', 1) AS marked, regexp_replace(regexp_replace(lower(reply), '^best option:', ''), '^\\s*\\(*\\s*', '') AS bare FROM r),
+l AS (SELECT *, regexp_extract(bare, '(?s)^([a-z])(?:$|[., )])', 1) AS lead_letter, length(bare) = 1 OR substr(bare, 2, 1) IN ('.', ',', ' ', ')') AS alone FROM b),
+m AS (SELECT *, coalesce(marked <> '' AND ord(upper(marked)) - 65 = gold AND gold < size, false) AS by_mark, coalesce(lead_letter <> '' AND ord(upper(lead_letter)) - 65 = gold AND gold < size, false) AS by_lead FROM l)
+SELECT task, count(*) AS n, round(avg(CASE WHEN by_mark OR by_lead THEN 1.0 ELSE 0 END), 9) AS acc, count(*) FILTER (NOT by_mark AND (bare = '' OR NOT (marked <> '' OR alone))) AS failed FROM m GROUP BY task""")
+def agg_rvq(spark, sf_dir, similarity=None):
     """Accuracy per task by the whole chain of ``judged_choices``; the raw reply stands in where none was parsed."""
     rows = responses(spark, sf_dir).select("task", F.coalesce(rp.field(F.col("v"), "answer"), "model_response").alias("reply"), "choices", "answer")
     return judged_choices(rows, similarity).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("ok").cast("double")), 9).alias("acc"), F.count_if("failed").alias("failed"))

@@ -36,9 +36,11 @@ def fn_match_answer_index(spark, sf_dir):
     return rows.select("row_id", F.size("h").cast("bigint").alias("n"), F.when(F.size("h") == 1, F.get("h", F.lit(0))).cast("bigint").alias("i"))
 
 
-@R.add("fn_index_to_letter", "SELECT i, CASE WHEN i BETWEEN 0 AND 4 THEN chr(CAST(65 + i AS INT)) END AS letter FROM range(-1, 7) r(i)")
+@R.add("fn_index_to_letter", f"WITH {QUESTIONS_SQL}, h AS (SELECT row_id, {_HITS} AS h FROM questions) SELECT row_id, CASE WHEN len(h) = 1 THEN chr(CAST(65 + h[1] AS INT)) END AS letter, CASE WHEN len(h) = 1 AND h[1] + 1 <= 4 THEN chr(CAST(66 + h[1] AS INT)) END AS next FROM h")
 def fn_index_to_letter(spark, sf_dir):
-    return spark.range(-1, 7).select(F.col("id").alias("i"), tx.letter(F.col("id")).alias("letter"))
+    """The letter of each question's only matching option, and the one after it; none beyond the fifth."""
+    rows = questions(spark, sf_dir).select("row_id", tx.unique_option(F.col("answer"), F.col("options")).alias("i"))
+    return rows.select("row_id", tx.letter(F.col("i")).alias("letter"), tx.letter(F.col("i") + 1).alias("next"))
 
 
 @R.add("fn_resolve_answer", f"WITH {QUESTIONS_SQL}, h AS (SELECT row_id, {_HITS} AS h, {_CLEAN.format('answer')} AS text FROM questions) SELECT row_id, CASE WHEN len(h) = 1 THEN chr(CAST(65 + h[1] AS INT)) ELSE text END AS answer, len(h) = 1 AS matched FROM h")

@@ -59,23 +59,25 @@ def fn_parse_ts(spark, sf_dir):
     return rows.select("row_id", F.floor(F.col("a").cast("double") / 60).cast("bigint").alias("clip"), F.col("b").cast("double").alias("end_s"))
 
 
-@R.add("fn_fmt_g", "SELECT * FROM (VALUES (1, '0'), (2, '12.5'), (3, '1e+06'), (4, '0.0001'), (5, '1e-05'), (6, '123457'), (7, '100'), (8, '1.5'), (9, '-2.25'), (10, '1.23457e+08')) t(i, text)")
+@R.add("fn_fmt_g", f"WITH {ANCHORS_SQL}, x AS (SELECT row_id, unnest([d, d * 1000, d / 1e7, -d, d * 1e6]) AS x, unnest(range(5)) AS i FROM anchors WHERE d IS NOT NULL) SELECT row_id, i, format('{{:g}}', x) AS text FROM x")
 def fn_fmt_g(spark, sf_dir):
-    """Short numbers over the cases that matter."""
-    cases = [(1, 0.0), (2, 12.5), (3, 1e6), (4, 0.0001), (5, 0.00001), (6, 123456.7), (7, 100.0), (8, 1.5), (9, -2.25), (10, 123456789.0)]
-    return spark.createDataFrame(cases, "i int, x double").select("i", tx.short_number(F.col("x")).alias("text"))
+    """Durations in short form, at sizes for which the form changes."""
+    d = F.col("d")
+    rows = anchors(spark, sf_dir).where("d IS NOT NULL").select("row_id", F.posexplode(F.array(d, d * 1000, d / 1e7, -d, d * 1e6)).alias("i", "x"))
+    return rows.select("row_id", F.col("i").cast("bigint").alias("i"), tx.short_number(F.col("x")).alias("text"))
 
 
-@R.add("fn_parse_alphas", "SELECT unnest([0.0, 0.05, 0.1]::DOUBLE[]) AS alpha")
+@R.add("fn_parse_alphas", "SELECT row_id, unnest([alpha, 0.05, alpha]) AS alpha FROM eval_result WHERE alpha IS NOT NULL")
 def fn_parse_alphas(spark, sf_dir):
-    """A comma list of levels; blanks are skipped."""
-    one = spark.range(1).select(F.split(F.lit("0, 0.05,, 0.1 "), ",").alias("p"))
-    return one.select(F.explode(F.filter(F.transform("p", lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())).alias("alpha"))
+    """A comma list of levels, from each row's own; blanks are skipped."""
+    text = F.concat(F.lit(" "), F.col("alpha").cast("string"), F.lit(", 0.05,, "), F.col("alpha").cast("string"), F.lit(" "))
+    return table(spark, sf_dir, "eval_result").where("alpha IS NOT NULL").select("row_id", F.explode(tx.level_list(text)).alias("alpha"))
 
 
-@R.add("fn_str2bool", "SELECT * FROM (VALUES ('yes', true), ('True', true), ('1', true), ('no', false), ('F', false), ('0', false), ('maybe', NULL)) t(text, value)")
+@R.add("fn_str2bool", "SELECT row_id, list_contains(['yes', 'True', '1', ' T '], w) AS value FROM (SELECT row_id, ['yes', 'True', '1', 'no', 'F', '0', ' T '][row_id % 7 + 1] AS w FROM test)")
 def fn_str2bool(spark, sf_dir):
-    return spark.createDataFrame([("yes",), ("True",), ("1",), ("no",), ("F",), ("0",), ("maybe",)], "text string").select("text", tx.boolean_word(F.col("text")).alias("value"))
+    words = F.array(*map(F.lit, ("yes", "True", "1", "no", "F", "0", " T ")))
+    return table(spark, sf_dir, "test").select("row_id", tx.strict_boolean(F.get(words, (F.col("row_id") % 7).cast("int"))).alias("value"))
 
 
 @R.add("fn_parse_fps", "SELECT row_id, CASE WHEN fps > 0 THEN fps END AS fps, 30000 / 1001.0 AS ntsc FROM gsub_test")
@@ -222,6 +224,8 @@ def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _id, _f in {"iv_find_seg_maxC": tm.best_clip, "iv_find_seg_maxF": tm.best_frame}.items():
     _sql = {
+        "iv_find_seg_maxC": """WITH c AS (SELECT vec_id, len(embedding) AS n, list_transform(range(0, (len(embedding) - 1) // 4 + 1), lambda i: list_sum(CAST(embedding[i * 4 + 1:i * 4 + 4] AS DOUBLE[])) / 4) AS m FROM embeddings),
+ f AS (SELECT vec_id, n, CASE WHEN list_max(m) > 0 THEN (list_position(m, list_max(m)) - 1) * 4 ELSE 0 END AS a FROM c) SELECT vec_id, 2.0 * a AS start_s, 2.0 * (least(a + 4, n) - 1) AS end_s FROM f""",
         "iv_find_seg_maxF": "SELECT vec_id, 2.0 * (list_position(embedding, list_max(embedding)) - 1) AS start_s, 2.0 * (list_position(embedding, list_max(embedding)) - 1) AS end_s FROM embeddings",
     }.get(_id)
 

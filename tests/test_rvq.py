@@ -21,4 +21,4 @@ def test_reply_chain(spark):
     assert [got[i] for i in range(14)] == [right, right, right, right, (True, True), (True, True), lost, right, wrong, lost, lost, lost, wrong, lost]
     plain = {r.i: (r.ok, r.failed) for r in judged_choices(df).collect()}
     assert plain[0] == right and plain[4] == lost and plain[7] == wrong
-    assert "agg_rvq_all" in __spark_entry__.queries()
+    assert "agg_rvq" in __spark_entry__.queries()
