@@ -47,7 +47,7 @@ LEGACY_READ_AS = {
 }
 LOST = "�"
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_GAP = re.compile(r"[ \t\r\n\x0b\x0c\x1c-\x1f]+")
+_GAPS = "\t\r\n\x0b\x0c\x1c\x1d\x1e\x1f"  # beside the blank; no-break spaces may be part of garbled characters
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _CONTROLS = re.compile("[\x80-\x9f]")
 _DIGITS = re.compile(r"[0-9][0-9.,:]*")
@@ -112,17 +112,19 @@ _WIDE = ("gb18030",)
 _ASCII_DIGITS = frozenset("0123456789")
 
 
-@lru_cache(maxsize=None)
-def _encodable(codec: str) -> frozenset[str]:
-    """The characters an encoding has, of the basic plane."""
-    out = []
-    for c in map(chr, range(0x80, 0x10000)):
+_TESTED: dict[str, dict[str, bool]] = {}
+
+
+def _encodable(codec: str, characters: set[str]) -> set[str]:
+    """Those of the characters that an encoding has; each is tried once per worker."""
+    tested = _TESTED.setdefault(codec, {})
+    for c in characters - tested.keys():
         try:
             c.encode(codec)
-            out.append(c)
+            tested[c] = True
         except UnicodeEncodeError:
-            pass
-    return frozenset(out)
+            tested[c] = False
+    return {c for c in characters if tested[c]}
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -145,7 +147,7 @@ def hashes(lines: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(lines, dtype=np.uint8)
     up, down = _powers(len(data) + 1)
     upto = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=upto[1:])
+    np.cumsum(np.multiply(data, up[: len(data)], dtype=np.uint64), out=upto[1:])
     cuts = np.flatnonzero(data == 10)
     start, end = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])
     h = (upto[end] - upto[start]) * down[start]
@@ -202,17 +204,15 @@ def held_forms(words: list[str], held: Callable[[np.ndarray], np.ndarray]) -> tu
                 left = _decode("\n".join(words[i] for i in lost).encode("utf-8", "surrogatepass"), codec, "ignore")
             take(lost, left, f"utf-8>{codec} ignored", nothing, codec)
     take(every, _CONTROLS.sub("", utf8.decode("latin-1")), "utf-8>latin-1 without controls", nothing, "latin-1")
-    foreign = [{c for c in w if c > "\x7f"} for w in words]
+    letters = [set(w) for w in words]
+    characters = set().union(*letters)
     for true, wrongs in LEGACY_READ_AS.items():
-        known = _encodable(true)
-        at = every if true == "gb18030" else np.array([i for i, f in enumerate(foreign) if f <= known], dtype=np.int64)
+        known = _encodable(true, characters)
+        at = every if len(known) == len(characters) else np.array([i for i, w in enumerate(letters) if w <= known], dtype=np.int64)
         if not len(at):
             continue
         mine = lambda i, true=true: words[i].encode(true)
-        try:
-            data = "\n".join(words[i] for i in at).encode(true)
-        except UnicodeEncodeError:  # lone surrogates
-            continue
+        data = "\n".join(words[i] for i in at).encode(true)
         for codec in wrongs:
             take(at, decoded(data, mine, at, codec), f"{true}>{codec}", mine, codec)
 
@@ -262,7 +262,11 @@ def words(text: str, known: dict[str, tuple[str, ...]] | None = None) -> tuple[s
     out: set[str] = set()
     cores: set[str] = set()
     known = {} if known is None else known
-    for token in set(_GAP.split(text)):
+    parted = text
+    for c in _GAPS:
+        if c in parted:
+            parted = parted.replace(c, " ")
+    for token in set(parted.split(" ")):
         if token.isascii():
             continue
         units = known.get(token)
