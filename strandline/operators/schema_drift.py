@@ -416,7 +416,7 @@ def canonical_target(names: list[str], types: list[str], targets: dict[str, str]
 
 
 def lineages(lines: DataFrame, changes: DataFrame, targets: dict[str, str]) -> DataFrame:
-    """(file_id, path, target) of every field of every file; ``changes`` is the result of :func:`drift`.
+    """(file_id, path, types, root, target) of every field of every file; ``changes`` is the result of :func:`drift`.
 
     A field's life in a stream begins where it is added or renamed; a renamed one has the life of its former name as
     parent. The first ancestor of each life comes from pointer jumping, which doubles the distance in every round.
@@ -460,16 +460,34 @@ def lineages(lines: DataFrame, changes: DataFrame, targets: dict[str, str]) -> D
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.string())], names=["stream_id", "root", "root_life", "target"])
 
     decided = lines_of.select("stream_id", "root", "root_life", "names", "types").mapInArrow(decide, "stream_id string, root string, root_life bigint, target string")
-    return placed.join(decided, ["stream_id", "root", "root_life"]).select("file_id", "path", "target")
+    return placed.join(decided, ["stream_id", "root", "root_life"]).select("file_id", "path", "types", "root", "target")
 
 
-def unify(lines: DataFrame, targets: dict[str, str] | None = None) -> DataFrame:
+def derived_targets(placed: DataFrame, targets: dict[str, str], most: int) -> dict[str, str]:
+    """{first name of a lineage: kind} of the lineages that fit no target, those in most files first: numbers where no file
+    has another type, else text. At most ``most``; the values of the others are kept in ``extra``."""
+    taken = {t.replace(".", "_").lower() for t in targets} | {"row_id", "file_id", "stream_id", "line_no", "extra"}
+    kinds = placed.where("target IS NULL").groupBy("root").agg(F.countDistinct("file_id").alias("n"), F.array_distinct(F.flatten(F.collect_set("types"))).alias("types"))
+    out: dict[str, str] = {}
+    for r in kinds.orderBy(F.desc("n"), "root").limit(most).collect():  # as many as a table may have columns
+        column = r.root.replace(".", "_").lower()
+        if column not in taken:
+            taken.add(column)
+            out[r.root] = "number" if r.types == ["number"] else "string"
+    return out
+
+
+def unify(lines: DataFrame, targets: dict[str, str] | None = None, derive: int = 200) -> DataFrame:
     """(row_id, file_id, stream_id, line_no, one column per target, extra) of every line: fields under the names, places
-    and types of their file, cast to one record. Two fields of a file with the same target: the first by path that has a value. Lines
+    and types of their file, cast to one record. The targets are the given ones, and up to ``derive`` more from the
+    lineages that fit none of them. Two fields of a file with the same target: the first by path that has a value. Lines
     that are null or no JSON object have null values. ``extra`` holds what has no target, or no value of its type, as JSON text."""
-    targets = targets or RESULT_FIELDS
-    changes = cut(drift(lines))
-    maps = lineages(lines, changes, targets).where("target IS NOT NULL").groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("path", "target"))).alias("fields"))  # as long as a schema is wide
+    targets = dict(targets or RESULT_FIELDS)
+    placed = stored(lineages(lines, cut(drift(lines)), targets))
+    more = derived_targets(placed, targets, derive)
+    targets |= more
+    named = F.when(F.col("root").isin(list(more)), F.col("root")) if more else F.lit(None).cast("string")
+    maps = placed.withColumn("target", F.coalesce("target", named)).where("target IS NOT NULL").groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("path", "target"))).alias("fields"))  # as long as a schema is wide
     arrow = {"string": pa.string(), "number": pa.float64(), "numbers": pa.list_(pa.float64())}
     spark_kind = {"string": "string", "number": "double", "numbers": "array<double>"}
     cols = {t: t.replace(".", "_") for t in targets}

@@ -29,3 +29,17 @@ def p1_change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All result lines as one table of one schema."""
     return unify(table(spark, sf_dir, "result_lines"))
+
+
+@R.add(
+    "p1_check",
+    """WITH v AS (SELECT r.row_id, count(*) AS n FROM result_lines r, json_tree(r.line_text::JSON) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey NOT LIKE '%[%' GROUP BY ALL)
+SELECT file_id, count(*) AS n_lines, sum(coalesce(n, 0))::BIGINT AS n_values FROM result_lines LEFT JOIN v USING (row_id) GROUP BY file_id""",
+)
+def p1_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each file in the one table, and their values in any column or in ``extra``: none may be lost or doubled."""
+    rows = p1_results(spark, sf_dir)
+    values = [c for c in rows.columns if c not in ("row_id", "file_id", "stream_id", "line_no", "extra")]
+    inside = F.size(F.filter(F.map_values(F.from_json("extra", "map<string, string>")), lambda v: v.isNotNull()))
+    n = sum((F.col(f"`{c}`").isNotNull().cast("bigint") for c in values), F.lit(0).cast("bigint")) + F.coalesce(inside, F.lit(0))
+    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(n).alias("n_values"))

@@ -93,7 +93,9 @@ def test_unify_follows_names_through_a_stream(spark):
     ]
     rows = sorted(unify(frame(spark, files)).collect(), key=lambda r: r.row_id)
     assert [round(r.alpha, 6) if r.alpha is not None else None for r in rows] == [0, 0.1, 0.2, 0.3, 0.4] * 3 + [None]
-    assert [r.video_id for r in rows] == ["v"] * 15 + [None] and json.loads(rows[1].extra) == {"seed": 1}
+    assert [r.video_id for r in rows] == ["v"] * 15 + [None] and [r.seed for r in rows][:6] == [0, 1, 2, 3, 4, None] and rows[1].extra is None
+    rows = sorted(unify(frame(spark, files), derive=0).collect(), key=lambda r: r.row_id)
+    assert json.loads(rows[1].extra) == {"seed": 1}
 
 
 def test_very_deep_lines(spark):
@@ -102,7 +104,7 @@ def test_very_deep_lines(spark):
     files = [("s", "1", 1, ['{"x": ' + deep + ', "y": 1}', nested]), ("s", "2", 2, ['{"z": ' + deep + ', "y": "1"}'])]
     got = sorted((r.file_id, r.field, r.change_kind) for r in drift(frame(spark, files)).collect() if len(r.field) < 10)
     assert got == [("2", "y", "type_changed"), ("2", "z", "renamed")]
-    rows = sorted(unify(frame(spark, files)).collect(), key=lambda r: r.row_id)
+    rows = sorted(unify(frame(spark, files), derive=0).collect(), key=lambda r: r.row_id)
     assert len(rows) == 3 and rows[0].extra == '{"x": ' + deep + ', "y": 1}'.replace("1", "1.0")
 
 
