@@ -57,7 +57,9 @@ def test_calls_keep_errors_as_rows(spark):
         return client
 
     df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None)], "id int, p string")
-    assert sorted(tuple(r) for r in call(df, "id", "p", make).collect()) == [(1, "ok", "A"), (2, "error", "ValueError: no"), (3, "ok", "")]
+    assert sorted(tuple(r) for r in call(df, "id", "p", make).collect()) == [(1, "ok", "A", 1), (2, "error", "ValueError: no", 1), (3, "ok", "", 1)]
+    again = call(df, "id", "p", make, attempts=3, sleep=lambda s: None)
+    assert sorted(tuple(r) for r in again.collect()) == [(1, "ok", "A", 1), (2, "error", "ValueError: no", 3), (3, "ok", "", 1)]
     twice = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id int, p string")
     assert sorted((r.id, r.out) for r in distinct_call(twice, "p", make, "out").collect()) == [(1, "A"), (2, "A"), (3, None)]
 
