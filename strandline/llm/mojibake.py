@@ -547,8 +547,9 @@ def find_garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
     found = stored(garbled_table(vocabulary).join(vocabulary.select(F.col("word").alias("garbled"), "n"), "garbled"))
     shown = stored(evident(mine, found))
     bad = stored(garbled_words(vocabulary, found, shown, short_forms(mine, found)))
-    # short forms, and words that are clean in most other texts, follow their own text
-    here = shown.join(bad.where(F.length("word") >= EVIDENCE_LENGTH), "word", "left_anti").drop("n").withColumn("own", F.lit(1))
+    # short legacy forms, and words that are clean in most other texts, follow their own text
+    sure = (F.length("word") >= EVIDENCE_LENGTH) | F.col("chain").startswith("utf-8")
+    here = shown.join(bad.where(sure), "word", "left_anti").drop("n").withColumn("own", F.lit(1))
     every = mine.select("key", "word").join(bad.withColumn("own", F.lit(0)), "word").unionByName(mine.select("key", "word", "source").join(here, ["source", "word"]).drop("source"))
     one = every.groupBy("key", "word").agg(F.max(F.struct("own", "original", "chain", "lossless")).alias("b"))
     return one.select(F.col("key").alias(key), "word", "b.original", "b.chain", "b.lossless")
